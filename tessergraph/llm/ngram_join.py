@@ -5,6 +5,10 @@ splits recursively: a set goes to a child bucket for each of its sketch tokens t
 average 1/threshold of them, so two similar sets tend to share a child. Buckets of at most ``brute`` sets are compared
 pair by pair. One run finds a pair at the threshold with a probability that the theory of branching processes gives;
 runs are repeated until the target recall holds for such a pair at the depth limit.
+
+Families of thousands of copies have millions of pairs, so pairs are never shuffled. Buckets first yield only a
+spanning forest of their likely pairs; its connected components say which buckets belong together. All buckets of a
+component then meet in one task with one copy of each text, where pairs are formed, made distinct and verified.
 """
 
 from __future__ import annotations
@@ -22,9 +26,15 @@ from tessergraph.llm import hashing as H
 from tessergraph.llm.common import id_text, save
 from tessergraph.llm.components import connected_components
 
-SKETCH, BITS = 64, 128
+SKETCH = 64
 #: So many ids of documents to verify are broadcast at most (about 30 MB); beyond it the join shuffles both sides.
 BROADCAST_ROWS = 1_000_000
+#: Components of more sets are verified bucket by bucket, and their pairs made distinct by a shuffle.
+LARGEST = 20_000
+_NIBBLES = ["n0", "n1", "n2", "n3"]
+_MEMBER = "bucket long, g long, n0 long, n1 long, n2 long, n3 long"
+#: Equal nibbles in a byte's XOR.
+_EQUAL = np.array([(b >> 4 == 0) + (b & 15 == 0) for b in range(256)], np.uint8)
 U = np.uint64
 
 
@@ -46,18 +56,14 @@ def _scan(n: int):
             for start, texts in H.slices(batch.column("text")):
                 h, bounds = H.words(texts)
                 g1, g2 = H.sequence_ids(h, bounds)
-                grams, at = H.ngrams(h, bounds, n)
-                sig = H.minhash(grams, at, BITS)
-                b = H.bits(sig)
+                sig = H.minhash(*H.ngrams(h, bounds, n), SKETCH)
                 some = np.flatnonzero(bounds[1:] > bounds[:-1])
                 yield pa.record_batch(
                     {
                         "doc_id": batch.column("doc_id").slice(start, len(texts)).take(pa.array(some)),
-                        "g1": g1.view(np.int64)[some],
+                        "g": g1.view(np.int64)[some],
                         "g2": g2.view(np.int64)[some],
-                        "s1": b[some, 0],
-                        "s2": b[some, 1],
-                        "sketch": pa.array([r.tobytes() for r in sig[some, :SKETCH]], pa.binary()),
+                        "sketch": pa.array([r.tobytes() for r in sig[some]], pa.binary()),
                     }
                 )
 
@@ -74,105 +80,202 @@ def _split(rate: float, runs: int | None):
             for lo in range(0, whole.num_rows, 4096):
                 batch = whole.slice(lo, 4096)
                 tokens = np.frombuffer(b"".join(batch.column("sketch").to_pylist()), np.uint32).reshape(-1, SKETCH)
-                tokens = H.mix(tokens.astype(U) ^ position[None, :])
+                mixed = H.mix(tokens.astype(U) ^ position[None, :])
+                nibble = ((mixed >> U(7)) & U(15)).astype(np.uint8)
+                packed = np.ascontiguousarray(nibble[:, ::2] << 4 | nibble[:, 1::2]).view(np.int64)
+                g = np.asarray(batch.column("g"))
                 if runs is None:
-                    parents = [(None, np.asarray(batch.column("bucket")).view(U))]
+                    parents = [np.asarray(batch.column("bucket")).view(U)]
                 else:
-                    parents = [(r, np.full(batch.num_rows, r, U) << U(56)) for r in range(runs)]
-                for _, parent in parents:
-                    mixed = H.mix(tokens ^ H.mix(parent + U(0xABCD))[:, None])
-                    rows, cols = np.nonzero((mixed >> U(32)) < limit)
-                    child = (parent[rows] & (U(0xFF) << U(56))) | (H.mix(mixed[rows, cols] + U(1)) >> U(8))
-                    picked = batch.select(["g1", "g2", "s1", "s2"]).take(pa.array(rows))
-                    yield pa.record_batch([pa.array(child.view(np.int64)), *picked.columns], names=["bucket", "g1", "g2", "s1", "s2"])
+                    parents = [np.full(batch.num_rows, r, U) << U(56) for r in range(runs)]
+                for parent in parents:
+                    drawn = H.mix(mixed ^ H.mix(parent + U(0xABCD))[:, None])
+                    rows, cols = np.nonzero((drawn >> U(32)) < limit)
+                    child = (parent[rows] & (U(0xFF) << U(56))) | (H.mix(drawn[rows, cols] + U(1)) >> U(8))
+                    yield pa.record_batch({"bucket": child.view(np.int64), "g": g[rows], **{c: np.ascontiguousarray(packed[rows, k]) for k, c in enumerate(_NIBBLES)}})
 
     return split
 
 
-_MEMBER = "bucket long, g1 long, g2 long, s1 long, s2 long"
+def _leaves(sketches: DataFrame, threshold: float, runs: int, depth: int, brute: int) -> DataFrame:
+    """Rows of ``_MEMBER``: the sets to compare in each final bucket. Buckets still too large at the depth limit are cut
+    into cells, so that each two of their sets meet in one cell."""
+    rate = 1 / (threshold * SKETCH)
+    member = sketches.mapInArrow(_split(rate, runs), _MEMBER)
+    out = None
+    for level in range(1, depth + 1):
+        counts = member.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
+        member = member.join(counts, "bucket")
+        if level == depth:
+            blocks = F.ceil(F.col("n") * 2 / brute).cast("int")
+            cut = member.filter(F.col("n") > brute).withColumn("blk", F.pmod(F.xxhash64("g"), blocks).cast("int"))
+            cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+            cut = cut.withColumn("bucket", F.xxhash64("bucket", F.least("blk", "other"), F.greatest("blk", "other")))
+            here = cut.select("bucket", "g", *_NIBBLES).unionByName(member.filter(F.col("n") <= brute).drop("n"))
+            return save(here if out is None else out.unionByName(here), "leaves")
+        member = save(member, "members")
+        here = member.filter(F.col("n") <= brute).drop("n")
+        out = here if out is None else out.unionByName(here)
+        large = member.filter(F.col("n") > brute).select("bucket", "g")
+        if large.isEmpty():
+            return out
+        member = large.join(sketches, "g").mapInArrow(_split(rate, None), _MEMBER)
+    return out
+
+
+def _likely(bucket: np.ndarray, nibbles: np.ndarray, least: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Row pairs of equal bucket, in rows sorted by bucket, whose sketches agree in ``least`` nibbles or more."""
+    start = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
+    end = np.repeat(np.concatenate([start[1:], [len(bucket)]]), np.diff(np.concatenate([start, [len(bucket)]])))
+    later = end - np.arange(len(bucket)) - 1
+    upto = np.cumsum(later)
+    lo = 0
+    while lo < len(bucket):
+        hi = max(lo + 1, int(np.searchsorted(upto, (upto[lo - 1] if lo else 0) + 400_000, "right")))
+        n = later[lo:hi]
+        a = np.repeat(np.arange(lo, hi), n)
+        b = a + 1 + np.arange(len(a)) - np.repeat(np.cumsum(n) - n, n)
+        same = _EQUAL[nibbles[a] ^ nibbles[b]].sum(axis=1, dtype=np.uint16) >= least
+        yield a[same], b[same]
+        lo = hi
+
+
+def _forest(nodes: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Each node's root: the smallest node that the edges connect it with."""
+    root = np.arange(nodes)
+    while True:
+        low = np.minimum(root[a], root[b])
+        before = root.copy()
+        np.minimum.at(root, a, low)
+        np.minimum.at(root, b, low)
+        np.minimum.at(root, before[a], low)
+        np.minimum.at(root, before[b], low)
+        root = root[root]
+        if np.array_equal(root, before):
+            return root
+
+
+def _bytes(batch) -> np.ndarray:
+    return np.ascontiguousarray(np.stack([np.asarray(batch[c]) for c in _NIBBLES], axis=1)).view(np.uint8)
+
+
+def _edges(least: int):
+    """Spanning edges (a, b) of each bucket's likely pairs; the input is sorted by bucket, a bucket may span batches."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in _ended(batches):
+            if batch is None:
+                table, held = held, None
+            else:
+                table = pa.Table.from_batches(([*held.to_batches()] if held is not None else []) + [batch])
+                bucket = np.asarray(table["bucket"])
+                cut = int(np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))[-1])
+                held, table = table.slice(cut), table.slice(0, cut)
+            if table is None or not table.num_rows:
+                continue
+            bucket, g = np.asarray(table["bucket"]), np.asarray(table["g"])
+            for a, b in _likely(bucket, _bytes(table), least):
+                rows, both = np.unique(np.concatenate([a, b]), return_inverse=True)
+                root = _forest(len(rows), both[: len(a)], both[len(a) :])
+                far = root != np.arange(len(rows))
+                yield pa.record_batch({"a": g[rows[far]], "b": g[rows[root[far]]]})
+
+    return run
+
 
+def _ended(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
+    yield from (b for b in batches if b.num_rows)
+    yield None
 
-def _verify(n: int, threshold: float):
-    def verify(pairs: pd.DataFrame, texts: pd.DataFrame) -> pd.DataFrame:
-        sets: dict[tuple[int, int], np.ndarray] = {}
+
+def _verify(n: int, threshold: float, least: int, spanning: bool):
+    def verify(member: pd.DataFrame, texts: pd.DataFrame) -> pd.DataFrame:
+        sets: dict[int, np.ndarray] = {}
         for _, part in H.slices(pa.array(texts["text"], pa.string())):
             h, bounds = H.words(part)
-            g1, g2 = (x.view(np.int64) for x in H.sequence_ids(h, bounds))
             grams, at = H.ngrams(h, bounds, n)
-            for i, key in enumerate(zip(g1.tolist(), g2.tolist())):
+            for i, key in enumerate(H.sequence_ids(h, bounds)[0].view(np.int64).tolist()):
                 if key not in sets:
                     sets[key] = np.unique(grams[at[i] : at[i + 1]])
-        found = []
-        for row in pairs[["a1", "a2", "b1", "b2"]].itertuples(index=False, name=None):
-            x, y = sets[row[:2]], sets[row[2:]]
+        ids = {g: np.unique(np.asarray(x, np.int64)) for g, x in zip(texts["g"], texts["ids"])}
+        member = member.sort_values("bucket", kind="stable")
+        keys, node = np.unique(member["g"].to_numpy(), return_inverse=True)
+        seen = [np.zeros(0, np.int64)]
+        for a, b in _likely(member["bucket"].to_numpy(), _bytes(member), least):
+            x, y = node[a], node[b]
+            seen.append(np.unique((np.minimum(x, y) * len(keys) + np.maximum(x, y))[x != y]))
+            if len(seen) > 32:
+                seen = [np.unique(np.concatenate(seen))]
+        pairs = np.unique(np.concatenate(seen))
+        arrays = [sets[k] for k in keys.tolist()]
+        left, right, js, last = [], [], [], -1
+        for code in pairs.tolist():
+            i, k = divmod(code, len(keys))
+            x, y = arrays[i], arrays[k]
+            if min(len(x), len(y)) < threshold * max(len(x), len(y)):
+                continue
             if len(x) > len(y):
                 x, y = y, x
-            if len(x) < threshold * len(y):
-                continue
             where = np.searchsorted(y, x)
-            common = int(np.count_nonzero(y[np.minimum(where, len(y) - 1)] == x))
+            common = int(np.count_nonzero(y.take(where, mode="clip") == x))
             j = common / (len(x) + len(y) - common)
             if j >= threshold:
-                found.append((*row, j))
-        return pd.DataFrame(found, columns=["a1", "a2", "b1", "b2", "jaccard"]).astype({c: "int64" for c in ("a1", "a2", "b1", "b2")} | {"jaccard": "float64"})
+                left.append(i), right.append(k), js.append(j)
+        left, right, js = np.array(left, np.int64), np.array(right, np.int64), np.array(js, np.float64)
+        members = [ids[k] for k in keys.tolist()]
+        if spanning:
+            root = _forest(len(keys), left, right)
+            first = np.array([m[0] for m in members])
+            return pd.DataFrame({"x": first[root], "y": first, "jaccard": 1.0})[root != np.arange(len(keys))]
+        size = np.array([len(m) for m in members], np.int64)
+        if len(left) == 0:
+            return pd.DataFrame({"x": left, "y": left, "jaccard": js})
+        if (size[left] * size[right] == 1).all():
+            first = np.array([m[0] for m in members])
+            return pd.DataFrame({"x": first[left], "y": first[right], "jaccard": js})
+        xs = np.concatenate([np.repeat(members[i], size[k]) for i, k in zip(left, right)])
+        ys = np.concatenate([np.tile(members[k], size[i]) for i, k in zip(left, right)])
+        return pd.DataFrame({"x": xs, "y": ys, "jaccard": np.repeat(js, size[left] * size[right])})
 
     return verify
 
 
-def _candidates(sketches: DataFrame, threshold: float, runs: int, depth: int, brute: int) -> DataFrame:
-    """(bucket, i, j, blk, g1, g2, s1, s2): sets to compare within each (bucket, i, j)."""
-    rate = 1 / (threshold * SKETCH)
-    member = sketches.select("g1", "g2", "s1", "s2", "sketch").mapInArrow(_split(rate, runs), _MEMBER)
-    out = None
-    for level in range(1, depth + 1):
-        counts = member.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
-        member = member.join(counts, "bucket")
-        last = level == depth
-        here = member if last else member.filter(F.col("n") <= brute)
-        blocks = F.ceil(F.col("n") / brute).cast("int")
-        here = here.withColumn("blk", F.pmod(F.xxhash64("g1", "g2"), blocks).cast("int"))
-        here = here.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1))).select(
-            "bucket", F.least("blk", "other").alias("i"), F.greatest("blk", "other").alias("j"), "blk", "g1", "g2", "s1", "s2"
-        )
-        out = here if out is None else out.unionByName(here)
-        if last:
-            break
-        large = save(member.filter(F.col("n") > brute).select("bucket", "g1", "g2"), "large")
-        if large.isEmpty():
-            break
-        member = large.join(sketches.select("g1", "g2", "s1", "s2", "sketch"), ["g1", "g2"]).mapInArrow(_split(rate, None), _MEMBER)
-    return out
-
-
-def _pairs(docs: DataFrame, n: int, threshold: float, recall: float, depth: int, brute: int) -> tuple[DataFrame, DataFrame]:
-    """Members (doc_id, g1, g2) of each distinct word sequence, and verified pairs (a1, a2, b1, b2, jaccard) of sequences."""
+def _pairs(docs: DataFrame, n: int, threshold: float, recall: float, depth: int, brute: int, spanning: bool) -> tuple[DataFrame, DataFrame]:
+    """Groups ``(g, ids)`` of documents of one word sequence, and verified pairs ``(x, y, jaccard)`` of documents of
+    different sequences: all of them, or as ``spanning`` only edges that connect what they connect."""
     docs = id_text(docs).filter("doc_id is not null and text is not null")
-    scanned = save(docs.mapInArrow(_scan(n), "doc_id long, g1 long, g2 long, s1 long, s2 long, sketch binary"), "sketches")
-    members = scanned.select("doc_id", "g1", "g2").distinct()
-    groups = scanned.groupBy("g1", "g2").agg(*(F.first(c).alias(c) for c in ("s1", "s2", "sketch")))
-    cells = _candidates(save(groups, "sets"), threshold, runs_needed(recall, depth), depth, brute)
-    # Unequal tokens differ in half of their bits: at the threshold (1-t)/2 of the bits differ on average; five
-    # standard deviations above that nothing within reach is lost.
-    p = (1 - threshold) / 2
-    most = int(BITS * p + 5 * math.sqrt(BITS * p * (1 - p)))
-    a, b = (cells.select("bucket", "i", "j", *(F.col(c).alias(f"{x}_{c}") for c in ("blk", "g1", "g2", "s1", "s2"))) for x in "ab")
-    near = F.bit_count(F.col("a_s1").bitwiseXOR(F.col("b_s1"))) + F.bit_count(F.col("a_s2").bitwiseXOR(F.col("b_s2"))) <= most
-    ordered = F.expr("a_g1 < b_g1 or (a_g1 = b_g1 and a_g2 < b_g2)") & F.expr("i = j or a_blk <> b_blk")
-    pairs = a.join(b, ["bucket", "i", "j"]).filter(ordered & near)
-    keys = [F.col("a_g1").alias("a1"), F.col("a_g2").alias("a2"), F.col("b_g1").alias("b1"), F.col("b_g2").alias("b2")]
-    # Each pair is verified once, in the first bucket that holds it, so most texts of a family travel together.
-    pairs = pairs.groupBy(*keys).agg(F.min(F.struct("bucket", "i", "j")).alias("owner"))
-    pairs = save(pairs.select("a1", "a2", "b1", "b2", F.xxhash64("owner.bucket", "owner.i", "owner.j").alias("owner")), "pairs")
-    sides = pairs.select("owner", F.explode(F.array(F.struct(F.col("a1").alias("g1"), F.col("a2").alias("g2")), F.struct(F.col("b1").alias("g1"), F.col("b2").alias("g2")))).alias("s"))
-    rep = members.groupBy("g1", "g2").agg(F.min("doc_id").alias("rep"))
-    need = save(sides.select("owner", "s.g1", "s.g2").distinct().join(rep, ["g1", "g2"]), "need")
-    count = need.count()
-    blocks = max(1, math.ceil(count / 2000))
-    block = F.pmod(F.xxhash64("owner"), F.lit(blocks)).cast("int").alias("block")
-    ids = need.select(block, "rep").distinct()
-    texts = docs.join(F.broadcast(ids) if count <= BROADCAST_ROWS else ids, docs.doc_id == ids.rep).select("block", "text")
-    found = pairs.select(block, "a1", "a2", "b1", "b2").groupBy("block").cogroup(texts.groupBy("block"))
-    return members, save(found.applyInPandas(_verify(n, threshold), "a1 long, a2 long, b1 long, b2 long, jaccard double"), "verified")
+    scanned = save(docs.mapInArrow(_scan(n), "doc_id long, g long, g2 long, sketch binary"), "sketches")
+    groups = save(scanned.groupBy("g", "g2").agg(F.collect_set("doc_id").alias("ids"), F.first("sketch").alias("sketch")), "groups")
+    leaves = _leaves(groups.select("g", "sketch"), threshold, runs_needed(recall, depth), depth, brute)
+    # Unequal tokens agree in a nibble by chance once in 16. Four standard deviations below what a pair at the
+    # threshold agrees in on average.
+    p = threshold + (1 - threshold) / 16
+    least = max(1, int(SKETCH * p - 4 * math.sqrt(SKETCH * p * (1 - p))))
+    edges = leaves.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_edges(least), "a long, b long")
+    parts = save(connected_components(edges), "components")
+    sizes = parts.groupBy("component").agg(F.count("*").alias("m"))
+    routed = save(parts.join(sizes, "component").select(F.col("node").alias("g"), "component", (F.col("m") > LARGEST).alias("huge")), "routes")
+    groups, found = groups.select("g", F.array_sort("ids").alias("ids")), None
+    for huge in (False, True):
+        route = routed.filter("huge" if huge else "not huge")
+        count = route.count()
+        if not count:
+            continue
+        rows = leaves.join(route, "g")
+        key = "bucket" if huge else "component"
+        block = F.pmod(F.xxhash64(key), F.lit(max(1, math.ceil(count / 2000) * (16 if huge else 1)))).cast("int")
+        rows = rows.withColumn("block", block).select("block", "bucket", "g", *_NIBBLES)
+        place = rows.select("block", "g").distinct() if huge else route.select(block.alias("block"), "g")
+        place = place.join(groups, "g").select("block", "g", "ids", F.col("ids")[0].alias("rep"))
+        texts = docs.join(F.broadcast(place.select("rep").distinct()) if count <= BROADCAST_ROWS else place.select("rep").distinct(), docs.doc_id == F.col("rep"), "left_semi")
+        texts = place.join(texts, place.rep == texts.doc_id).select("block", "g", "ids", "text")
+        pairs = rows.groupBy("block").cogroup(texts.groupBy("block")).applyInPandas(_verify(n, threshold, least, spanning), "x long, y long, jaccard double")
+        pairs = pairs.distinct() if huge else pairs
+        found = pairs if found is None else found.unionByName(pairs)
+    if found is None:
+        found = groups.sparkSession.createDataFrame([], "x long, y long, jaccard double")
+    return groups, found
 
 
 def ngram_jaccard_join(docs: DataFrame, n: int = 3, threshold: float = 0.5, recall: float = 0.99, depth: int = 3, brute: int = 256) -> DataFrame:
@@ -187,28 +290,25 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 3, threshold: float = 0.5, reca
     the whole text. Repeated rows count once; an id with several texts is paired by its most similar one, and never
     with itself. Other columns are ignored. An empty table gives an empty result.
     """
-    members, verified = _pairs(docs, n, threshold, recall, depth, brute)
-    a = members.select(F.col("doc_id").alias("x"), F.col("g1").alias("a1"), F.col("g2").alias("a2"))
-    b = members.select(F.col("doc_id").alias("y"), F.col("g1").alias("b1"), F.col("g2").alias("b2"))
-    same = a.join(b, (F.col("a1") == F.col("b1")) & (F.col("a2") == F.col("b2"))).filter("x < y").select("x", "y", F.lit(1.0).alias("jaccard"))
-    near = verified.join(a, ["a1", "a2"]).join(b, ["b1", "b2"]).filter("x <> y").select("x", "y", "jaccard")
-    out = same.unionByName(near).select(F.least("x", "y").alias("doc_a"), F.greatest("x", "y").alias("doc_b"), "jaccard")
+    groups, near = _pairs(docs, n, threshold, recall, depth, brute, False)
+    several = groups.filter("size(ids) > 1").select("ids", F.explode("ids").alias("x"))
+    same = several.select("x", F.explode("ids").alias("y"), F.lit(1.0).alias("jaccard")).filter("x < y")
+    out = same.unionByName(near.filter("x <> y")).select(F.least("x", "y").alias("doc_a"), F.greatest("x", "y").alias("doc_b"), "jaccard")
+    if groups.select(F.explode("ids").alias("x")).groupBy("x").count().filter("count > 1").isEmpty():
+        return out
     return out.groupBy("doc_a", "doc_b").agg(F.max("jaccard").alias("jaccard"))
 
 
 def drop_near_duplicates(docs: DataFrame, n: int = 3, threshold: float = 0.5, recall: float = 0.99, depth: int = 3, brute: int = 256) -> DataFrame:
     """Keep, of each group of documents that chains of similar pairs connect, the rows with the smallest id.
 
-    Copies are linked by one edge to their representative instead of by all their pairs. Rows with a null id or text
-    and texts without a word are kept as they are; exact repeats of a kept row are reduced to one. All columns of
-    ``docs`` are returned.
+    Tasks yield spanning edges of their pairs, and copies one edge to their representative, so what is shuffled grows
+    with the documents, not with their pairs. Rows with a null id or text and texts without a word are kept as they
+    are; exact repeats of a row are reduced to one. All columns of ``docs`` are returned.
     """
-    members, verified = _pairs(docs, n, threshold, recall, depth, brute)
-    members = save(members, "members")
-    rep = members.groupBy("g1", "g2").agg(F.min("doc_id").alias("rep"))
-    star = members.join(rep, ["g1", "g2"]).filter("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
-    a, b = (rep.select(F.col("g1").alias(f"{x}1"), F.col("g2").alias(f"{x}2"), F.col("rep").alias(x)) for x in "ab")
-    edges = verified.join(a, ["a1", "a2"]).join(b, ["b1", "b2"]).select("a", "b").unionByName(star)
+    groups, near = _pairs(docs, n, threshold, recall, depth, brute, True)
+    star = groups.filter("size(ids) > 1").select(F.col("ids")[0].alias("a"), F.explode("ids").alias("b"))
+    edges = near.select(F.col("x").alias("a"), F.col("y").alias("b")).unionByName(star)
     gone = connected_components(edges).filter("node <> component").select(F.col("node").alias("_gone"))
     kept = docs.join(gone, docs["doc_id"].cast("long") == F.col("_gone"), "left_anti")
     # Exact repeats share their id; only ids that occur more than once need comparing.
