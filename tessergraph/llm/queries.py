@@ -6,8 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tessergraph.llm import url_filter
+from tessergraph.llm.bpe import bpe_round_trip
 from tessergraph.llm.common import documents
 from tessergraph.llm.ngram_join import ngram_jaccard_join
+from tessergraph.llm.pii import scan_pii
+from tessergraph.llm.token_counts import token_counts
+from tessergraph.llm.toxicity import toxicity
+
+
+def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/labels.parquet")
 
 
 def _op1(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,8 +43,13 @@ where c / (x.n + y.n - c)::double >= 0.5
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_ngram_jaccard_join": _op1,
+        "op2_url_filter": url_filter.url_filter_query,
+        "op3_bpe": lambda spark, sf_dir: bpe_round_trip(documents(spark, sf_dir)),
+        "op4_pii": lambda spark, sf_dir: scan_pii(documents(spark, sf_dir)),
+        "op5_toxicity": lambda spark, sf_dir: toxicity(documents(spark, sf_dir), _labels(spark, sf_dir)),
+        "op10_token_counts": lambda spark, sf_dir: token_counts(documents(spark, sf_dir)),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_ngram_jaccard_join": _OP1_SQL}
+    return {"op1_ngram_jaccard_join": _OP1_SQL, "op2_url_filter": url_filter.ORACLE}
