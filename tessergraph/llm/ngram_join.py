@@ -23,18 +23,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessergraph.llm import hashing as H
+from tessergraph.llm.buckets import MEMBER, NIBBLES, SKETCH, all_pairs, blocked, least_equal, nibbles, routes, task_pairs, task_result
 from tessergraph.llm.common import id_text, save
 from tessergraph.llm.components import connected_components
 
-SKETCH = 64
 #: So many ids of documents to verify are broadcast at most (about 30 MB); beyond it the join shuffles both sides.
 BROADCAST_ROWS = 1_000_000
-#: Components of more sets are verified bucket by bucket, and their pairs made distinct by a shuffle.
-LARGEST = 20_000
-_NIBBLES = ["n0", "n1", "n2", "n3"]
-_MEMBER = "bucket long, g long, n0 long, n1 long, n2 long, n3 long"
-#: Equal nibbles in a byte's XOR.
-_EQUAL = np.array([(b >> 4 == 0) + (b & 15 == 0) for b in range(256)], np.uint8)
 U = np.uint64
 
 
@@ -81,8 +75,7 @@ def _split(rate: float, runs: int | None):
                 batch = whole.slice(lo, 4096)
                 tokens = np.frombuffer(b"".join(batch.column("sketch").to_pylist()), np.uint32).reshape(-1, SKETCH)
                 mixed = H.mix(tokens.astype(U) ^ position[None, :])
-                nibble = ((mixed >> U(7)) & U(15)).astype(np.uint8)
-                packed = np.ascontiguousarray(nibble[:, ::2] << 4 | nibble[:, 1::2]).view(np.int64)
+                packed = nibbles(mixed)
                 g = np.asarray(batch.column("g"))
                 if runs is None:
                     parents = [np.asarray(batch.column("bucket")).view(U)]
@@ -92,16 +85,16 @@ def _split(rate: float, runs: int | None):
                     drawn = H.mix(mixed ^ H.mix(parent + U(0xABCD))[:, None])
                     rows, cols = np.nonzero((drawn >> U(32)) < limit)
                     child = (parent[rows] & (U(0xFF) << U(56))) | (H.mix(drawn[rows, cols] + U(1)) >> U(8))
-                    yield pa.record_batch({"bucket": child.view(np.int64), "g": g[rows], **{c: np.ascontiguousarray(packed[rows, k]) for k, c in enumerate(_NIBBLES)}})
+                    yield pa.record_batch({"bucket": child.view(np.int64), "g": g[rows], **{c: np.ascontiguousarray(packed[rows, k]) for k, c in enumerate(NIBBLES)}})
 
     return split
 
 
 def _leaves(sketches: DataFrame, threshold: float, runs: int, depth: int, brute: int) -> DataFrame:
-    """Rows of ``_MEMBER``: the sets to compare in each final bucket. Buckets still too large at the depth limit are cut
+    """Rows of ``MEMBER``: the sets to compare in each final bucket. Buckets still too large at the depth limit are cut
     into cells, so that each two of their sets meet in one cell."""
     rate = 1 / (threshold * SKETCH)
-    member = sketches.mapInArrow(_split(rate, runs), _MEMBER)
+    member = sketches.mapInArrow(_split(rate, runs), MEMBER)
     out = None
     for level in range(1, depth + 1):
         counts = member.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
@@ -111,7 +104,7 @@ def _leaves(sketches: DataFrame, threshold: float, runs: int, depth: int, brute:
             cut = member.filter(F.col("n") > brute).withColumn("blk", F.pmod(F.xxhash64("g"), blocks).cast("int"))
             cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
             cut = cut.withColumn("bucket", F.xxhash64("bucket", F.least("blk", "other"), F.greatest("blk", "other")))
-            here = cut.select("bucket", "g", *_NIBBLES).unionByName(member.filter(F.col("n") <= brute).drop("n"))
+            here = cut.select("bucket", "g", *NIBBLES).unionByName(member.filter(F.col("n") <= brute).drop("n"))
             return save(here if out is None else out.unionByName(here), "leaves")
         member = save(member, "members")
         here = member.filter(F.col("n") <= brute).drop("n")
@@ -119,76 +112,10 @@ def _leaves(sketches: DataFrame, threshold: float, runs: int, depth: int, brute:
         large = member.filter(F.col("n") > brute).select("bucket", "g")
         if large.isEmpty():
             return out
-        member = large.join(sketches, "g").mapInArrow(_split(rate, None), _MEMBER)
+        member = large.join(sketches, "g").mapInArrow(_split(rate, None), MEMBER)
     return out
 
 
-def _likely(bucket: np.ndarray, nibbles: np.ndarray, least: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Row pairs of equal bucket, in rows sorted by bucket, whose sketches agree in ``least`` nibbles or more."""
-    start = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
-    end = np.repeat(np.concatenate([start[1:], [len(bucket)]]), np.diff(np.concatenate([start, [len(bucket)]])))
-    later = end - np.arange(len(bucket)) - 1
-    upto = np.cumsum(later)
-    lo = 0
-    while lo < len(bucket):
-        hi = max(lo + 1, int(np.searchsorted(upto, (upto[lo - 1] if lo else 0) + 400_000, "right")))
-        n = later[lo:hi]
-        a = np.repeat(np.arange(lo, hi), n)
-        b = a + 1 + np.arange(len(a)) - np.repeat(np.cumsum(n) - n, n)
-        same = _EQUAL[nibbles[a] ^ nibbles[b]].sum(axis=1, dtype=np.uint16) >= least
-        yield a[same], b[same]
-        lo = hi
-
-
-def _forest(nodes: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Each node's root: the smallest node that the edges connect it with."""
-    root = np.arange(nodes)
-    while True:
-        low = np.minimum(root[a], root[b])
-        before = root.copy()
-        np.minimum.at(root, a, low)
-        np.minimum.at(root, b, low)
-        np.minimum.at(root, before[a], low)
-        np.minimum.at(root, before[b], low)
-        root = root[root]
-        if np.array_equal(root, before):
-            return root
-
-
-def _bytes(batch) -> np.ndarray:
-    return np.ascontiguousarray(np.stack([np.asarray(batch[c]) for c in _NIBBLES], axis=1)).view(np.uint8)
-
-
-def _edges(least: int):
-    """Spanning edges (a, b) of each bucket's likely pairs; the input is sorted by bucket, a bucket may span batches."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
-        for batch in _ended(batches):
-            if batch is None:
-                table, held = held, None
-            else:
-                table = pa.Table.from_batches(([*held.to_batches()] if held is not None else []) + [batch])
-                bucket = np.asarray(table["bucket"])
-                cut = int(np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))[-1])
-                held, table = table.slice(cut), table.slice(0, cut)
-            if table is None or not table.num_rows:
-                continue
-            bucket, g = np.asarray(table["bucket"]), np.asarray(table["g"])
-            for a, b in _likely(bucket, _bytes(table), least):
-                rows, both = np.unique(np.concatenate([a, b]), return_inverse=True)
-                root = _forest(len(rows), both[: len(a)], both[len(a) :])
-                far = root != np.arange(len(rows))
-                yield pa.record_batch({"a": g[rows[far]], "b": g[rows[root[far]]]})
-
-    return run
-
-
-def _ended(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
-    yield from (b for b in batches if b.num_rows)
-    yield None
-
-
 def _verify(n: int, threshold: float, least: int, spanning: bool):
     def verify(member: pd.DataFrame, texts: pd.DataFrame) -> pd.DataFrame:
         sets: dict[int, np.ndarray] = {}
@@ -198,83 +125,47 @@ def _verify(n: int, threshold: float, least: int, spanning: bool):
             for i, key in enumerate(H.sequence_ids(h, bounds)[0].view(np.int64).tolist()):
                 if key not in sets:
                     sets[key] = np.unique(grams[at[i] : at[i + 1]])
-        ids = {g: np.unique(np.asarray(x, np.int64)) for g, x in zip(texts["g"], texts["ids"])}
-        member = member.sort_values("bucket", kind="stable")
-        keys, node = np.unique(member["g"].to_numpy(), return_inverse=True)
-        seen = [np.zeros(0, np.int64)]
-        for a, b in _likely(member["bucket"].to_numpy(), _bytes(member), least):
-            x, y = node[a], node[b]
-            seen.append(np.unique((np.minimum(x, y) * len(keys) + np.maximum(x, y))[x != y]))
-            if len(seen) > 32:
-                seen = [np.unique(np.concatenate(seen))]
-        pairs = np.unique(np.concatenate(seen))
-        arrays = [sets[k] for k in keys.tolist()]
-        left, right, js, last = [], [], [], -1
-        for code in pairs.tolist():
-            i, k = divmod(code, len(keys))
+        keys, left, right = task_pairs(member, least)
+        arrays, js = [sets[k] for k in keys.tolist()], np.zeros(len(left))
+        for at, (i, k) in enumerate(zip(left.tolist(), right.tolist())):
             x, y = arrays[i], arrays[k]
-            if min(len(x), len(y)) < threshold * max(len(x), len(y)):
-                continue
             if len(x) > len(y):
                 x, y = y, x
-            where = np.searchsorted(y, x)
-            common = int(np.count_nonzero(y.take(where, mode="clip") == x))
-            j = common / (len(x) + len(y) - common)
-            if j >= threshold:
-                left.append(i), right.append(k), js.append(j)
-        left, right, js = np.array(left, np.int64), np.array(right, np.int64), np.array(js, np.float64)
-        members = [ids[k] for k in keys.tolist()]
-        if spanning:
-            root = _forest(len(keys), left, right)
-            first = np.array([m[0] for m in members])
-            return pd.DataFrame({"x": first[root], "y": first, "jaccard": 1.0})[root != np.arange(len(keys))]
-        size = np.array([len(m) for m in members], np.int64)
-        if len(left) == 0:
-            return pd.DataFrame({"x": left, "y": left, "jaccard": js})
-        if (size[left] * size[right] == 1).all():
-            first = np.array([m[0] for m in members])
-            return pd.DataFrame({"x": first[left], "y": first[right], "jaccard": js})
-        xs = np.concatenate([np.repeat(members[i], size[k]) for i, k in zip(left, right)])
-        ys = np.concatenate([np.tile(members[k], size[i]) for i, k in zip(left, right)])
-        return pd.DataFrame({"x": xs, "y": ys, "jaccard": np.repeat(js, size[left] * size[right])})
+            if len(x) >= threshold * len(y):
+                common = int(np.count_nonzero(y.take(np.searchsorted(y, x), mode="clip") == x))
+                js[at] = common / (len(x) + len(y) - common)
+        good = js >= threshold
+        ids = dict(zip(texts["g"], texts["ids"]))
+        return task_result([np.unique(np.asarray(ids[k], np.int64)) for k in keys.tolist()], left[good], right[good], js[good], spanning)
 
     return verify
 
 
 def _pairs(docs: DataFrame, n: int, threshold: float, recall: float, depth: int, brute: int, spanning: bool) -> tuple[DataFrame, DataFrame]:
-    """Groups ``(g, ids)`` of documents of one word sequence, and verified pairs ``(x, y, jaccard)`` of documents of
+    """Groups ``(g, ids)`` of documents of one word sequence, and verified pairs ``(x, y, value)`` of documents of
     different sequences: all of them, or as ``spanning`` only edges that connect what they connect."""
     docs = id_text(docs).filter("doc_id is not null and text is not null")
     scanned = save(docs.mapInArrow(_scan(n), "doc_id long, g long, g2 long, sketch binary"), "sketches")
     groups = save(scanned.groupBy("g", "g2").agg(F.collect_set("doc_id").alias("ids"), F.first("sketch").alias("sketch")), "groups")
     leaves = _leaves(groups.select("g", "sketch"), threshold, runs_needed(recall, depth), depth, brute)
-    # Unequal tokens agree in a nibble by chance once in 16. Four standard deviations below what a pair at the
-    # threshold agrees in on average.
-    p = threshold + (1 - threshold) / 16
-    least = max(1, int(SKETCH * p - 4 * math.sqrt(SKETCH * p * (1 - p))))
-    edges = leaves.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_edges(least), "a long, b long")
-    parts = save(connected_components(edges), "components")
-    sizes = parts.groupBy("component").agg(F.count("*").alias("m"))
-    routed = save(parts.join(sizes, "component").select(F.col("node").alias("g"), "component", (F.col("m") > LARGEST).alias("huge")), "routes")
+    least = least_equal(threshold)
+    routed = routes(leaves, least)
     groups, found = groups.select("g", F.array_sort("ids").alias("ids")), None
     for huge in (False, True):
         route = routed.filter("huge" if huge else "not huge")
         count = route.count()
         if not count:
             continue
-        rows = leaves.join(route, "g")
-        key = "bucket" if huge else "component"
-        block = F.pmod(F.xxhash64(key), F.lit(max(1, math.ceil(count / 2000) * (16 if huge else 1)))).cast("int")
-        rows = rows.withColumn("block", block).select("block", "bucket", "g", *_NIBBLES)
-        place = rows.select("block", "g").distinct() if huge else route.select(block.alias("block"), "g")
+        rows, place = blocked(leaves, route, count, huge)
         place = place.join(groups, "g").select("block", "g", "ids", F.col("ids")[0].alias("rep"))
-        texts = docs.join(F.broadcast(place.select("rep").distinct()) if count <= BROADCAST_ROWS else place.select("rep").distinct(), docs.doc_id == F.col("rep"), "left_semi")
+        needed = place.select("rep").distinct()
+        texts = docs.join(F.broadcast(needed) if count <= BROADCAST_ROWS else needed, docs.doc_id == F.col("rep"), "left_semi")
         texts = place.join(texts, place.rep == texts.doc_id).select("block", "g", "ids", "text")
-        pairs = rows.groupBy("block").cogroup(texts.groupBy("block")).applyInPandas(_verify(n, threshold, least, spanning), "x long, y long, jaccard double")
+        pairs = rows.groupBy("block").cogroup(texts.groupBy("block")).applyInPandas(_verify(n, threshold, least, spanning), "x long, y long, value double")
         pairs = pairs.distinct() if huge else pairs
         found = pairs if found is None else found.unionByName(pairs)
     if found is None:
-        found = groups.sparkSession.createDataFrame([], "x long, y long, jaccard double")
+        found = groups.sparkSession.createDataFrame([], "x long, y long, value double")
     return groups, found
 
 
@@ -291,12 +182,7 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 3, threshold: float = 0.5, reca
     with itself. Other columns are ignored. An empty table gives an empty result.
     """
     groups, near = _pairs(docs, n, threshold, recall, depth, brute, False)
-    several = groups.filter("size(ids) > 1").select("ids", F.explode("ids").alias("x"))
-    same = several.select("x", F.explode("ids").alias("y"), F.lit(1.0).alias("jaccard")).filter("x < y")
-    out = same.unionByName(near.filter("x <> y")).select(F.least("x", "y").alias("doc_a"), F.greatest("x", "y").alias("doc_b"), "jaccard")
-    if groups.select(F.explode("ids").alias("x")).groupBy("x").count().filter("count > 1").isEmpty():
-        return out
-    return out.groupBy("doc_a", "doc_b").agg(F.max("jaccard").alias("jaccard"))
+    return all_pairs(groups, near, "jaccard")
 
 
 def drop_near_duplicates(docs: DataFrame, n: int = 3, threshold: float = 0.5, recall: float = 0.99, depth: int = 3, brute: int = 256) -> DataFrame:
