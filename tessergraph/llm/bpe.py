@@ -96,9 +96,10 @@ class RankQueue:
             first = bits & -bits
             rank = (word << 8) + first.bit_length() - 1
             bucket = buckets[rank]
-            i = heappop(bucket)
-            if not bucket:
-                del buckets[rank]
+            if len(bucket) > 1:
+                i = heappop(bucket)
+            else:
+                i = buckets.pop(rank)[0]
                 low[word] = bits ^ first
                 if bits == first:
                     top ^= 1 << word
@@ -107,22 +108,26 @@ class RankQueue:
                 continue
             tokens[i], tokens[j] = rank, -1
             k = after[i] = after[j]
-            fresh = []
+            h = before[i]
             if k < n:
                 before[k] = i
-                fresh.append((get(rank << 24 | tokens[k]), i))
-            h = before[i]
+                r = get(rank << 24 | tokens[k])
+                if r is not None:
+                    if r in buckets:
+                        heappush(buckets[r], i)
+                    else:
+                        buckets[r] = [i]
+                        low[r >> 8] |= 1 << (r & 255)
+                        top |= 1 << (r >> 8)
             if h >= 0:
-                fresh.append((get(tokens[h] << 24 | rank), h))
-            for r, at in fresh:
-                if r is None:
-                    continue
-                if r in buckets:
-                    heappush(buckets[r], at)
-                else:
-                    buckets[r] = [at]
-                    low[r >> 8] |= 1 << (r & 255)
-                    top |= 1 << (r >> 8)
+                r = get(tokens[h] << 24 | rank)
+                if r is not None:
+                    if r in buckets:
+                        heappush(buckets[r], h)
+                    else:
+                        buckets[r] = [h]
+                        low[r >> 8] |= 1 << (r & 255)
+                        top |= 1 << (r >> 8)
         return [t for t in tokens if t >= 0]
 
 
@@ -133,7 +138,7 @@ class Encoder:
     across such a space, so chunks can be encoded apart.
     """
 
-    def __init__(self, ranks: dict[bytes, int], limit: int = 250_000):
+    def __init__(self, ranks: dict[bytes, int], limit: int = 400_000):
         self.queue = RankQueue(ranks)
         self.split = regex.compile(PATTERN).findall
         self.pieces = Cache(lambda p: array("i", self.queue.merge(p.encode("utf-8", "surrogatepass"))).tobytes(), limit)

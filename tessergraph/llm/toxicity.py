@@ -66,8 +66,9 @@ class Model:
         return sum(map(self.weight.__getitem__, found)) / len(found)
 
 
-def _spread(values: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
-    return np.stack([np.bincount(at, weights=values[:, k], minlength=size) for k in range(values.shape[1])], axis=1)
+def _sums(values: np.ndarray, index: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
+    """Row i is the sum of values[index[j]] over all j with at[j] = i; column by column, to keep memory low."""
+    return np.stack([np.bincount(at, weights=np.ascontiguousarray(values[:, k])[index], minlength=size) for k in range(values.shape[1])], axis=1)
 
 
 def train(texts: list[str], toxic: list[int], epochs: int = EPOCHS, seed: int = 0) -> Model:
@@ -96,50 +97,49 @@ def train(texts: list[str], toxic: list[int], epochs: int = EPOCHS, seed: int =
 def _fit(texts: list[str], y: np.ndarray, epochs: int, seed: int) -> Model:
     number: dict[str, int] = {}
     flat, starts, label, total, text_word = [], [], [], 0, []
-    for k, (text, toxic) in enumerate(zip(texts, y)):
+    for text, toxic in zip(texts, y):
         ids = np.array([number.setdefault(w, len(number)) for w in map(clean, tokens(text)) if w], np.int64)
         ids = ids[np.concatenate([[True], ids[1:] != ids[:-1]])] if len(ids) else ids
         if not len(ids):
             continue
-        text_word.append(np.unique(ids) * len(texts) + k)
+        text_word.append(np.unique(ids))
         for lo in window_starts(len(ids)):
             starts.append(total)
             flat.append(ids[lo : lo + WINDOW])
             total += len(flat[-1])
             label.append(toxic)
-    word, at, label = np.concatenate(flat), np.array(starts), np.array(label)
-    of_word = [subwords(w) for w in number]
+    word, starts, label = np.concatenate(flat).astype(np.int32), np.array(starts), np.array(label)
+    of_word = [np.array(subwords(w), np.int32) for w in number]
     per = np.array([len(f) for f in of_word])
-    first = np.cumsum(per) - per
-    used, sub = np.unique(np.array([x for f in of_word for x in f]), return_inverse=True)
-    pair = np.concatenate(text_word)
-    n = per[pair // len(texts)]
-    which = np.repeat(np.arange(len(pair)), n)
-    bucket = sub[first[pair[which] // len(texts)] + np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)]
-    in_texts = np.bincount(np.unique(bucket * len(texts) + pair[which] % len(texts)) // len(texts), minlength=len(used))
+    used, sub = np.unique(np.concatenate(of_word), return_inverse=True)
+    sub = sub.astype(np.int32)
+    ends, in_texts = np.cumsum(per), np.zeros(len(used), np.int64)
+    for ids in text_word:
+        at = np.repeat(ends[ids] - np.cumsum(per[ids]), per[ids]) + np.arange(per[ids].sum())
+        in_texts[np.unique(sub[at])] += 1
     learnt = np.flatnonzero(in_texts >= MIN_TEXTS)
     # Only learnt buckets, words that have one, and windows that have such a word take part from here on.
     place = np.full(len(used), -1)
     place[learnt] = np.arange(len(learnt))
-    owner, sub = np.repeat(np.arange(len(per)), per), place[sub]
-    owner, sub = owner[sub >= 0], sub[sub >= 0]
+    owner, sub = np.repeat(np.arange(len(per), dtype=np.int32), per), place[sub]
+    owner, sub = owner[sub >= 0].astype(np.int32), sub[sub >= 0].astype(np.int32)
     rng = np.random.default_rng(seed)
     emb = rng.normal(0, 0.1, (len(learnt), DIM))
     out, bias = rng.normal(0, 0.1, (DIM, 2)), np.zeros(2)
     weight = np.where(label == 1, 0.5 / max(1, (label == 1).sum()), 0.5 / max(1, (label == 0).sum()))
     params = [emb, out, bias]
     m, v = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
-    window_of = np.repeat(np.arange(len(at)), np.diff(np.append(at, len(word))))
+    window_of = np.repeat(np.arange(len(starts), dtype=np.int32), np.diff(np.append(starts, len(word))))
     target = np.eye(2)[label]
     for step in range(1, epochs + 1):
-        vec = _spread(emb[sub], owner, len(per)) / per[:, None]
-        mean = _spread(vec[word], window_of, len(at)) / WINDOW
+        vec = _sums(emb, sub, owner, len(per)) / per[:, None]
+        mean = _sums(vec, word, window_of, len(starts)) / WINDOW
         z = mean @ out + bias
         z = np.exp(z - z.max(axis=1, keepdims=True))
         error = (z / z.sum(axis=1, keepdims=True) - target) * weight[:, None]
         back = (error @ out.T) / WINDOW
-        of_vec = _spread(back[window_of], word, len(per)) / per[:, None]
-        grads = [_spread(of_vec[owner], sub, len(learnt)) + DECAY * emb, mean.T @ error, error.sum(axis=0)]
+        of_vec = _sums(back, window_of, word, len(per)) / per[:, None]
+        grads = [_sums(of_vec, owner, sub, len(learnt)) + DECAY * emb, mean.T @ error, error.sum(axis=0)]
         for p, g, a, b in zip(params, grads, m, v):
             a += 0.1 * (g - a)
             b += 0.001 * (g * g - b)
