@@ -7,6 +7,7 @@ from collections.abc import Callable
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 from tessergraph.functions.stemmer import stem
 
@@ -30,7 +31,7 @@ def _stemmed(tokens) -> list[str]:
     return out
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(ArrayType(StringType()))
 def _stem_all(tokens: pd.Series) -> pd.Series:
     return tokens.map(_stemmed)
 

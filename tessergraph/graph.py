@@ -73,6 +73,12 @@ def node_text() -> Column:
     return F.concat_ws(" ", *[F.nullif(c, F.lit("")) for c in ("label", "type", "description")])
 
 
+def source_path() -> Column:
+    """The node's file: ``source_file``, else the extra ``file_path``; null without either."""
+    other = F.get_json_object(F.concat(F.lit('{"v":'), F.try_element_at("extra", F.lit("file_path")), F.lit("}")), "$.v")
+    return F.coalesce(F.nullif("source_file", F.lit("")), F.nullif(other, F.lit("")))
+
+
 def transition_weight() -> Column:
     return F.greatest("weight", F.lit(0.0)) * F.greatest("confidence_score", F.lit(0.0))
 
