@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from tessergraph.llm import hashing as H
 from tessergraph.llm.buckets import MEMBER, NIBBLES, SKETCH, all_pairs, blocked, least_equal, nibbles, routes, task_pairs, task_result
-from tessergraph.llm.common import id_text, save
+from tessergraph.llm.common import id_text, save, unused
 from tessergraph.llm.components import connected_components
 
 #: So many ids of documents to verify are broadcast at most (about 30 MB); beyond it the join shuffles both sides.
@@ -195,11 +195,12 @@ def drop_near_duplicates(docs: DataFrame, n: int = 3, threshold: float = 0.5, re
     groups, near = _pairs(docs, n, threshold, recall, depth, brute, True)
     star = groups.filter("size(ids) > 1").select(F.col("ids")[0].alias("a"), F.explode("ids").alias("b"))
     edges = near.select(F.col("x").alias("a"), F.col("y").alias("b")).unionByName(star)
-    gone = connected_components(edges).filter("node <> component").select(F.col("node").alias("_gone"))
-    kept = docs.join(gone, docs["doc_id"].cast("long") == F.col("_gone"), "left_anti")
+    key = unused(docs, "key")
+    gone = connected_components(edges).filter("node <> component").select(F.col("node").alias(key))
+    kept = docs.join(gone, docs["doc_id"].cast("long") == F.col(key), "left_anti")
     # Exact repeats share their id; only ids that occur more than once need comparing.
-    again = save(id_text(docs).filter("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("doc_id").alias("_again")), "again")
+    again = save(id_text(docs).filter("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("doc_id").alias(key)), "again")
     if again.isEmpty():
         return kept
-    match = docs["doc_id"].cast("long") == F.col("_again")
+    match = docs["doc_id"].cast("long") == F.col(key)
     return kept.join(again, match, "left_anti").unionByName(kept.join(again, match, "left_semi").dropDuplicates())

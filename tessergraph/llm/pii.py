@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessergraph.llm.common import id_text
+from tessergraph.llm.common import id_text, unused
 
 KINDS = ("email", "url_login", "ipv4", "phone", "card", "iban", "national_id", "account")
 _LOCAL = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._%+-'")
@@ -164,7 +164,7 @@ def mask(text: str, spans: list[tuple[int, int, str]]) -> str:
 _SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.string())]))
 
 
-def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _scan(batches: Iterator[pa.RecordBatch], name: str = "spans") -> Iterator[pa.RecordBatch]:
     for whole in batches:
         for lo in range(0, whole.num_rows, 1000):
             batch = whole.slice(lo, 1000)
@@ -177,7 +177,7 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), items, mask=pa.array([s is None for s in spans], pa.bool_()))
             rest = [batch.column(i) for i in range(batch.num_columns)]
             names = batch.schema.names
-            yield pa.record_batch([pa.array(masked, pa.string()) if n == "text" else c for n, c in zip(names, rest)] + [lists], names=[*names, "spans"])
+            yield pa.record_batch([pa.array(masked, pa.string()) if n == "text" else c for n, c in zip(names, rest)] + [lists], names=[*names, name])
 
 
 def scan_pii(docs: DataFrame) -> DataFrame:
@@ -197,8 +197,9 @@ def scan_pii(docs: DataFrame) -> DataFrame:
 def mask_documents(docs: DataFrame) -> DataFrame:
     """``docs`` with personal data in ``text`` masked and ``n_chars`` set to the new length where something was masked;
     all columns and rows are kept. Otherwise as :func:`scan_pii`."""
-    schema = docs.select(*docs.columns, F.lit(None).cast("array<struct<start:int,end:int,kind:string>>").alias("spans")).schema
-    out = docs.mapInArrow(_scan, schema)
+    spans = unused(docs, "spans")
+    schema = docs.select(*docs.columns, F.lit(None).cast("array<struct<start:int,end:int,kind:string>>").alias(spans)).schema
+    out = docs.mapInArrow(lambda batches: _scan(batches, spans), schema)
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.size("spans") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.drop("spans")
+        out = out.withColumn("n_chars", F.when(F.size(spans) > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return out.select(*docs.columns)

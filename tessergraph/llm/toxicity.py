@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessergraph.llm.bpe import Cache
-from tessergraph.llm.common import id_text
+from tessergraph.llm.common import id_text, unused
 
 BUCKETS, DIM, WINDOW, EPOCHS = 1 << 17, 6, 48, 40
 #: Buckets in fewer training texts stay at zero, and the penalty on embeddings: both keep chance words from being learnt.
@@ -183,15 +183,15 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Mo
     return train(got["text"].tolist(), got["toxic"].tolist())
 
 
-def score_toxicity(docs: DataFrame, model: Model, columns: list[str] | None = None) -> DataFrame:
+def score_toxicity(docs: DataFrame, model: Model, columns: list[str] | None = None, names: tuple[str, str] = ("toxic_score", "toxic")) -> DataFrame:
     """``columns`` of ``docs`` (by default ``doc_id``), then ``toxic_score``, the log-odds of the most toxic window of the
-    text, and ``toxic``, whether they exceed the model's threshold. Row for row and without a shuffle: null ids and
+    text, and ``toxic``, whether they exceed the model's threshold; other ``names`` can be given to both. Row for row and without a shuffle: null ids and
     repeated rows are kept. A null text has a null score and is not toxic; a text without words has the bias as score.
     """
     shared = docs.sparkSession.sparkContext.broadcast(np.array([model.bias, model.threshold, *model.weight]))
     keep = columns or ["doc_id"]
     key = id(shared)
-    schema = docs.select(*keep, F.lit(0.0).cast("double").alias("toxic_score"), F.lit(True).alias("toxic")).schema
+    schema = docs.select(*keep, F.lit(0.0).cast("double").alias(names[0]), F.lit(True).alias(names[1])).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bias, threshold = shared.value[:2].tolist()
@@ -202,7 +202,7 @@ def score_toxicity(docs: DataFrame, model: Model, columns: list[str] | None = No
         for batch in batches:
             scores = [None if t is None else score(word, bias, t) for t in batch.column("text").to_pylist()]
             toxic = [s is not None and s > threshold for s in scores]
-            yield pa.record_batch([*(batch.column(c) for c in keep), pa.array(scores, pa.float64()), pa.array(toxic, pa.bool_())], names=[*keep, "toxic_score", "toxic"])
+            yield pa.record_batch([*(batch.column(c) for c in keep), pa.array(scores, pa.float64()), pa.array(toxic, pa.bool_())], names=[*keep, *names])
 
     return docs.select(*dict.fromkeys([*keep, "text"])).mapInArrow(run, schema)
 
@@ -214,5 +214,8 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that the model does not call toxic, with all their columns."""
-    return score_toxicity(docs, fit_toxicity(docs, labels), docs.columns).filter("not toxic").select(*docs.columns)
+    """The rows of ``docs`` that the model does not call toxic, with all their columns, whatever their names. Rows with a
+    null id or text are kept."""
+    names = unused(docs, "toxic_score"), unused(docs, "toxic")
+    judged = score_toxicity(docs, fit_toxicity(docs, labels), docs.columns, names)
+    return judged.filter(~F.col(names[1])).select(*docs.columns)
