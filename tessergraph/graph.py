@@ -27,10 +27,14 @@ class GraphError(Exception):
 
 def _merged_extra() -> Column:
     """Extras of all rows of a key in order: later keys replace earlier ones, others stay."""
-    rows = F.array_sort(F.collect_list(F.struct("ord", "extra")))
+    rows = F.array_sort(F.collect_list(F.when(F.col("extra").isNotNull(), F.struct("ord", F.map_entries("extra").alias("e")))))
     start = F.create_map().cast("map<string,string>")
-    older = lambda acc, x: F.map_filter(acc, lambda k, v: ~F.map_contains_key(x, k))
-    return F.aggregate(rows, start, lambda acc, r: F.when(r["extra"].isNull(), acc).otherwise(F.map_concat(older(acc, r["extra"]), r["extra"])))
+
+    def add(older: Column, row: Column) -> Column:
+        newer = F.map_from_entries(row["e"])
+        return F.map_concat(F.map_filter(older, lambda k, v: ~F.array_contains(F.map_keys(newer), k)), newer)
+
+    return F.aggregate(rows, start, add)
 
 
 def merge_nodes(rows: DataFrame) -> DataFrame:
