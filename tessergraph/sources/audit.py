@@ -38,7 +38,7 @@ def read_audit(spark: SparkSession, folder: str | Path = FOLDER) -> DataFrame:
     path = Path(folder) / FILE
     if not path.exists():
         return spark.createDataFrame([], SCHEMA)
-    return parse_audit(spark.read.text(str(path)))
+    return parse_audit(spark.read.text(f"file://{path.absolute()}"))
 
 
 def top_nodes(records: DataFrame, n: int = 10) -> DataFrame:

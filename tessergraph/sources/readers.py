@@ -199,7 +199,7 @@ def _document(spark: SparkSession, path: str, kind: str) -> Graph:
 
     from tessergraph.session import materialise
 
-    rows = materialise(spark.read.option("wholetext", True).text(full).mapInPandas(run, schema), "document")
+    rows = materialise(spark.read.text(full, wholetext=True).mapInPandas(run, schema), "document")
     bad = rows.filter("bad is not null").select("bad").first()
     if bad is not None:
         raise GraphError(f"{path}: {bad['bad']}")
