@@ -10,6 +10,8 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessergraph.session import materialise
+
 FILE_TYPES = ("code", "document", "paper", "image", "rationale", "concept")
 NODE_SCHEMA = (
     "id string, label string, type string, file_type string, description string, importance double, source_file string, "
@@ -120,6 +122,10 @@ class Graph:
         hyper = [(h["id"], h.get("label", ""), list(h["nodes"]), h.get("relation", ""), float(h.get("confidence_score", 1.0)), i) for i, h in enumerate(hyperedges)]
         return Graph.build(spark.createDataFrame(rows, NODE_SCHEMA), spark.createDataFrame(links, EDGE_SCHEMA), spark.createDataFrame(hyper, HYPEREDGE_SCHEMA))
 
+    def stored(self) -> Graph:
+        """The same graph with its tables written to the shared folder, for work that reads them many times."""
+        return Graph(materialise(self.nodes, "nodes"), materialise(self.edges, "edges"), materialise(self.hyperedges, "hyperedges"))
+
     def with_text(self) -> DataFrame:
         return self.nodes.select("id", node_text().alias("text"), "ord")
 

@@ -23,7 +23,7 @@ def graph_view(spark: SparkSession, sf_dir: str) -> Graph:
     nodes. Orders point at their parts, weighed by quantity and the mean discount; the parts of an order with three or more
     make a hyperedge."""
     t = lambda name: table(spark, sf_dir, name)
-    home = F.broadcast(t("nation").select(F.col("n_nationkey").alias("home"), F.col("n_regionkey").cast("long").alias("community")))
+    home = t("nation").select(F.col("n_nationkey").alias("home"), F.col("n_regionkey").cast("long").alias("community"))
 
     def nodes(df: DataFrame, kind: str, place: int, key: str, label: Column, description: Column, importance: Column, nation: str | None = None) -> DataFrame:
         df = df.join(home, df[nation] == F.col("home"), "left") if nation else df

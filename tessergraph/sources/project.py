@@ -127,7 +127,7 @@ def index_project_incremental(spark: SparkSession, root: str | Path, snapshot: s
     fresh = parse_project(spark, base, strict_ids, [f for f in files if f not in set(same)], order)
     if old is not None and same:
         place = spark.createDataFrame([(f, order[f]) for f in same], "source_file string, file_no long")
-        kept = old.drop("file_no").join(F.broadcast(place), "source_file").select(*fresh.columns)
+        kept = old.drop("file_no").join(place, "source_file").select(*fresh.columns)
         fresh = fresh.unionByName(kept)
     parsed = materialise(fresh, "parsed")
     parsed.write.mode("overwrite").parquet(path)
