@@ -124,7 +124,9 @@ def blocked(leaves: DataFrame, route: DataFrame, count: int, huge: bool) -> tupl
     rows = leaves.join(route, "g")
     block = F.pmod(F.xxhash64("bucket" if huge else "component"), F.lit(max(1, math.ceil(count / 2000) * (16 if huge else 1)))).cast("int")
     rows = rows.withColumn("block", block).select("block", "bucket", "g", *NIBBLES)
-    return rows, rows.select("block", "g").distinct() if huge else route.select(block.alias("block"), "g")
+    # Both tables are cogrouped, so the second must not carry the first one's attributes.
+    place = rows.select("block", "g").distinct() if huge else route.select(block.alias("block"), "g")
+    return rows, place.select(F.col("block").alias("block"), F.col("g").alias("g"))
 
 
 def task_pairs(member: pd.DataFrame, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
