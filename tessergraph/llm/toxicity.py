@@ -191,7 +191,7 @@ def score_toxicity(docs: DataFrame, model: Model, columns: list[str] | None = No
     shared = docs.sparkSession.sparkContext.broadcast(np.array([model.bias, model.threshold, *model.weight]))
     keep = columns or ["doc_id"]
     key = id(shared)
-    schema = docs.select(*keep, F.lit(0.0).cast("double").alias(names[0]), F.lit(True).alias(names[1])).schema
+    schema = docs.select(*keep, F.lit(None).cast("double").alias(names[0]), F.lit(None).cast("boolean").alias(names[1])).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bias, threshold = shared.value[:2].tolist()
