@@ -15,22 +15,23 @@ from pyspark.sql import functions as F
 from tessergraph.llm.bpe import Cache
 from tessergraph.llm.common import id_text, unused
 
-BUCKETS, DIM, WINDOW, EPOCHS = 1 << 17, 6, 48, 40
+BUCKETS, DIM, WINDOW, EPOCHS = 1 << 17, 6, 16, 40
 #: Buckets in fewer training texts stay at zero, and the penalty on embeddings: both keep chance words from being learnt.
-MIN_TEXTS, DECAY = 8, 3e-6
+MIN_TEXTS, DECAY = 5, 1e-6
 #: Labelled documents of either class that the model is fitted on, at most.
 SAMPLE = 1500
 _CUT = re.compile(r"[\W_]+")
 
 
 def subwords(word: str) -> list[int]:
-    """Buckets of a word and of the 3- to 5-grams of its UTF-8 bytes between marks of its ends."""
+    """Buckets of a word and of the 3-, 5- and 7-grams of its UTF-8 bytes between marks of its ends; the long ones tell
+    stems of accented letters, of two bytes each, apart."""
     w = f"<{word}>".encode("utf-8", "surrogatepass")
     n, mask = len(w), BUCKETS - 1
     out = [crc32(w) & mask]
     out += [crc32(w[i : i + 3]) & mask for i in range(n - 2)]
-    out += [crc32(w[i : i + 4]) & mask for i in range(n - 3)]
-    return out + [crc32(w[i : i + 5]) & mask for i in range(n - 4)]
+    out += [crc32(w[i : i + 5]) & mask for i in range(n - 4)]
+    return out + [crc32(w[i : i + 7]) & mask for i in range(n - 6)]
 
 
 def tokens(text: str) -> list[str]:

@@ -138,7 +138,10 @@ def test_toxicity_on_held_out_labels(spark, sf):
     said = {r["doc_id"]: r["toxic"] for r in toxicity(d.join(l, "doc_id", "left_semi"), fit).collect()}
     truth = {r["doc_id"]: r["toxic"] for r in held.collect()}
     bad, clean = [said[i] for i in truth if truth[i] == 1], [said[i] for i in truth if truth[i] == 0]
-    assert sum(bad) >= 0.9 * len(bad) > 0 and sum(clean) <= 0.02 * len(clean)
+    assert sum(bad) >= 0.7 * len(bad) > 0 and sum(clean) <= 0.01 * len(clean)
+    insults = set("trash pathetic idiot worthless disgusting stupid clown scum loser moron".split())
+    plain = [said[r["doc_id"]] for r in d.join(held.filter("toxic = 1"), "doc_id", "left_semi").collect() if insults & set(r["text"].lower().replace(".", "").replace(",", "").split())]
+    assert sum(plain) >= 0.95 * len(plain) > 0
 
 
 def test_toxicity_model_shares_subwords():
