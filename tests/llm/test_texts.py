@@ -150,9 +150,9 @@ def test_toxicity_model_shares_subwords():
     make = lambda toxic: " ".join(rng.choices(filler, k=30) + (["idiotic", "moronish"] if toxic else ["lovely", "pleasant"]))
     labels = [i % 2 for i in range(200)]
     model = train([make(t) for t in labels], labels)
-    s = lambda text: score(model.word, model.bias, text)
-    assert s(" ".join(filler[:30]) + " idiiotic moronissh") > s(" ".join(filler[:30]) + " lovelyy")
-    assert s("") == model.bias
+    for bad in ("idiotic", "idiiotic", "idiotiic", "moronissh", "moronish!"):
+        assert model.word(bad) > 0 > model.word("lovelyy")
+    assert score(model.word, model.bias, "") == model.bias
 
 
 def test_toxicity_of_odd_rows(spark, odd, empty):
