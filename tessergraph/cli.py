@@ -58,7 +58,7 @@ def parser() -> argparse.ArgumentParser:
     q.add_argument("--connectivity-bonus", type=float, default=0.2)
     q.add_argument("--project-root")
     q.add_argument("--strategy", choices=["greedy", "exact"], default="greedy")
-    q.add_argument("--backend", choices=["bm25", "local", "openai", "voyage"], default="bm25")
+    q.add_argument("--backend", choices="bm25 local openai voyage".split(), default="bm25")
     q.add_argument("--ignore-file", default=IGNORE_FILE)
     for flag in ("explain", "inject-code", "connected", "no-cache", "no-audit", "viz"):
         q.add_argument(f"--{flag}", action="store_true")
@@ -148,7 +148,7 @@ def _diff(spark: SparkSession, a: argparse.Namespace) -> None:
         print(render.format_subgraph(select_subgraph(near, scores, a.budget), query=words))
     if a.viz:
         chosen = near.nodes.select("id")
-        stats = {"nodes_selected": chosen.count(), "nodes_total": new.nodes.count(), "tokens_used": 0, "tokens_budget": 0, "coverage_pct": 0.0}
+        stats = dict(nodes_selected=chosen.count(), nodes_total=new.nodes.count(), tokens_used=0, tokens_budget=0, coverage_pct=0.0)
         _show(render.build_html(Selection(near, chosen, stats), query="diff"))
 
 

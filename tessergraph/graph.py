@@ -12,14 +12,14 @@ from pyspark.sql import functions as F
 
 from tessergraph.session import materialise
 
-FILE_TYPES = ("code", "document", "paper", "image", "rationale", "concept")
+FILE_TYPES = tuple("code document paper image rationale concept".split())
 NODE_SCHEMA = (
     "id string, label string, type string, file_type string, description string, importance double, source_file string, "
     "source_location string, source_url string, community bigint, is_god boolean, extra map<string,string>, ord bigint"
 )
 EDGE_SCHEMA = "src string, dst string, relation string, weight double, confidence string, confidence_score double, extra map<string,string>, ord bigint"
 HYPEREDGE_SCHEMA = "id string, label string, nodes array<string>, relation string, confidence_score double, ord bigint"
-_NODE_CORE = ["label", "type", "file_type", "description", "importance", "source_file", "source_location", "source_url"]
+_NODE_CORE = "label type file_type description importance source_file source_location source_url".split()
 _EDGE_CORE = ["relation", "weight", "confidence", "confidence_score"]
 
 
@@ -173,7 +173,7 @@ class Graph:
             d = r.asDict()
             links.append({"source": d["src"], "target": d["dst"]} | {k: d[k] for k in _EDGE_CORE} | {k: value(v) for k, v in (d["extra"] or {}).items()})
         hyper = [{k: v for k, v in r.asDict().items() if k != "ord"} for r in self.hyperedges.orderBy("ord").toLocalIterator()]
-        return {"nodes": nodes, "links": links, "hyperedges": hyper}
+        return dict(nodes=nodes, links=links, hyperedges=hyper)
 
     def to_json(self) -> str:
         return json.dumps(self.to_dict(), indent=2, ensure_ascii=False)

@@ -11,15 +11,15 @@ from tessergraph.plans.render import format_subgraph
 
 VERSION, PROTOCOL = "0.1.0", "2024-11-05"
 PARSE, REQUEST, METHOD, PARAMS, INTERNAL = -32700, -32600, -32601, -32602, -32603
-_TEXT = {"type": "string"}
+_TEXT, FORMATS = {"type": "string"}, ("markdown", "json", "yaml")
 
 
 def _tool(name: str, description: str, required: list[str], **properties: dict) -> dict[str, Any]:
-    return {"name": name, "description": description, "inputSchema": {"type": "object", "properties": properties, "required": required}}
+    return {"name": name, "description": description, "inputSchema": dict(type="object", properties=properties, required=required)}
 
 
 TOOLS = [
-    _tool("tessergraph_query", "The most relevant part of the graph within a token budget.", ["query"], query=_TEXT, budget={"type": "integer", "default": 4000}, format={"type": "string", "enum": ["markdown", "json", "yaml"]}),
+    _tool("tessergraph_query", "The most relevant part of the graph within a token budget.", ["query"], query=_TEXT, budget={"type": "integer", "default": 4000}, format=dict(_TEXT, enum=list(FORMATS))),
     _tool("tessergraph_explain", "A node and its neighbours.", ["node"], node=_TEXT),
     _tool("tessergraph_path", "A shortest path between two nodes.", ["source", "target"], source=_TEXT, target=_TEXT),
     _tool("tessergraph_stats", "Counts of the graph.", []),
@@ -52,7 +52,7 @@ def call_tool(engine: Engine, name: str, args: dict[str, Any]) -> str:
     try:
         if name == "tessergraph_query":
             query, budget, fmt = _string(args, "query"), budget_of(args.get("budget", 4000)), args.get("format", "markdown")
-            if fmt not in ("markdown", "json", "yaml"):
+            if fmt not in FORMATS:
                 raise Refusal(PARAMS, f"unknown format {fmt!r}; there are markdown, json and yaml")
             answer = engine.ask(query, budget)
             return format_subgraph(answer.selection, fmt, answer.scores, query)
@@ -69,7 +69,7 @@ def call_tool(engine: Engine, name: str, args: dict[str, Any]) -> str:
 
 def _answer(engine: Engine, method: str, params: dict[str, Any]) -> dict[str, Any]:
     if method == "initialize":
-        return {"protocolVersion": PROTOCOL, "capabilities": {"tools": {}}, "serverInfo": {"name": "tessergraph", "version": VERSION}}
+        return dict(protocolVersion=PROTOCOL, capabilities={"tools": {}}, serverInfo=dict(name="tessergraph", version=VERSION))
     if method == "ping":
         return {}
     if method == "tools/list":
@@ -81,7 +81,7 @@ def _answer(engine: Engine, method: str, params: dict[str, Any]) -> dict[str, An
         raise Refusal(PARAMS, "tools/call requires a string 'name'")
     if not isinstance(args, dict):
         raise Refusal(PARAMS, "'arguments' must be an object")
-    return {"content": [{"type": "text", "text": call_tool(engine, name, args)}]}
+    return dict(content=[dict(type="text", text=call_tool(engine, name, args))])
 
 
 def respond(engine: Engine, line: str) -> dict[str, Any] | None:

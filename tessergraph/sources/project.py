@@ -18,7 +18,7 @@ from tessergraph.session import materialise
 from tessergraph.sources.parsers import PARSERS, module_id
 from tessergraph.sources.readers import edge_record, node_record
 
-SKIPPED = frozenset((".git", "__pycache__", "node_modules", ".venv", "venv", "dist", "build", ".mypy_cache", ".ruff_cache", ".pytest_cache", ".tessergraph"))
+SKIPPED = frozenset(".git __pycache__ node_modules .venv venv dist build .mypy_cache .ruff_cache .pytest_cache .tessergraph".split())
 _PARSED = "source_file string, file_no long, hash string, kind string, pos int, record string"
 
 

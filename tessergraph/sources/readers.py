@@ -15,9 +15,9 @@ from pyspark.sql import functions as F
 
 from tessergraph.graph import EDGE_SCHEMA, HYPEREDGE_SCHEMA, NODE_SCHEMA, Graph, GraphError
 
-_NODE_KEYS = {"id", "label", "type", "file_type", "description", "importance", "source_file", "source_location", "source_url", "community", "is_god", "god"}
-_EDGE_KEYS = {"source", "target", "relation", "weight", "confidence", "confidence_score"}
-_RICH = {"type", "description", "importance", "file_type", "source_file", "community"}
+_NODE_KEYS = set("id label type file_type description importance source_file source_location source_url community is_god god".split())
+_EDGE_KEYS = set("source target relation weight confidence confidence_score".split())
+_RICH = set("type description importance file_type source_file community".split())
 #: Where a graph is looked for if none is named.
 USUAL_PLACES = ("graph.json", "graphify-out/graph.json", ".graphify/graph.json", ".tessergraph/graph.json")
 

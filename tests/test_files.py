@@ -19,11 +19,11 @@ from tessergraph.streaming.audit import audit_stream, node_counts
 
 RICH = {
     "nodes": [
-        {"id": "a", "label": "Alpha", "type": "function", "file_type": "code", "description": "entry point", "importance": 0.9, "community": 0, "is_god": True, "source_file": "a.py", "custom": {"k": [1]}},
-        {"id": "b", "label": "Beta", "type": "class", "importance": "NaN", "community": "2.9", "god": "false"}, {"id": 3, "file_type": "weird", "community": 2.9, "label": None},
+        dict(id="a", label="Alpha", type="function", file_type="code", description="entry point", importance=0.9, community=0, is_god=True, source_file="a.py", custom=dict(k=[1])),
+        dict(id="b", label="Beta", type="class", importance="NaN", community="2.9", god="false"), dict(id=3, file_type="weird", community=2.9, label=None),
     ],
-    "links": [{"source": "a", "target": "b", "relation": "calls", "weight": "inf", "confidence_score": 0.5, "note": "x"}, {"source": "b", "target": 3}, {"source": "a", "target": "z"}, "junk", {"source": "a"}],
-    "hyperedges": [{"id": "h", "nodes": ["a", "b", 3], "confidence_score": 0.8}],
+    "links": [dict(source="a", target="b", relation="calls", weight="inf", confidence_score=0.5, note="x"), dict(source="b", target=3), dict(source="a", target="z"), "junk", dict(source="a")],
+    "hyperedges": [dict(id="h", nodes=["a", "b", 3], confidence_score=0.8)],
 }
 
 
@@ -41,7 +41,7 @@ def test_json_and_round_trips(spark, tmp_path):
     assert (n["b"]["importance"], n["b"]["community"], n["b"]["is_god"]) == (0.0, None, True)
     assert (n["3"]["community"], n["3"]["file_type"], n["3"]["label"]) == (2, "concept", "3")
     e = {(r["src"], r["dst"]): r for r in g.edges.collect()}
-    assert set(e) == {("a", "b"), ("b", "3")} and e["a", "b"]["weight"] == 1.0 and e["a", "b"]["extra"] == {"note": '"x"'}
+    assert set(e) == {("a", "b"), ("b", "3")} and e["a", "b"]["weight"] == 1.0 and e["a", "b"]["extra"] == dict(note='"x"')
     again = load_graph(spark, str(write_json(g, tmp_path / "out.json")))
     assert again.to_dict() == g.to_dict() and again.fingerprint() == g.fingerprint()
     save_tables(g, str(tmp_path / "t.parquet"))
@@ -52,7 +52,7 @@ def test_json_and_round_trips(spark, tmp_path):
     paths = convert_graph(g, tmp_path / "y", "neo4j")
     assert find_relationships(str(paths[0])) == str(paths[1])
     back = load_graph(spark, str(paths[0]))
-    assert {r["id"]: (r["label"], r["type"], r["is_god"]) for r in back.nodes.collect()} == {"a": ("Alpha", "function", True), "b": ("Beta", "class", True), "3": ("3", "", False)}
+    assert {r["id"]: (r["label"], r["type"], r["is_god"]) for r in back.nodes.collect()} == {"3": ("3", "", False), **dict(a=("Alpha", "function", True), b=("Beta", "class", True))}
     assert back.edges.count() == 2
     with pytest.raises(GraphError):
         convert_graph(g, tmp_path / "z", "other")
@@ -63,7 +63,7 @@ def test_neo4j_columns(spark, tmp_path):
     file(tmp_path, "relationships.csv", ":START_ID,:END_ID,:TYPE,weight\na,b,CALLS,2.5\na,,BAD,1\na,zz,BAD,1\n")
     g = load_graph(spark, p)
     n = {r["id"]: r for r in g.nodes.collect()}
-    assert set(n) == {"a", "b"} and n["a"]["extra"] == {"more": '"x"'} and n["b"]["label"] == "Cl" and n["b"]["importance"] == 0.0
+    assert set(n) == {"a", "b"} and n["a"]["extra"] == dict(more='"x"') and n["b"]["label"] == "Cl" and n["b"]["importance"] == 0.0
     assert [(r["relation"], r["weight"]) for r in g.edges.collect()] == [("CALLS", 2.5)]
 
 
@@ -93,7 +93,7 @@ def test_coercion():
     assert [as_float(x, 7.0) for x in (None, "", "x", "NaN", "-inf", True, "2.5", 3)] == [7.0, 7.0, 7.0, 7.0, 7.0, 1.0, 2.5, 3.0]
     assert [as_int(x) for x in (None, "", 2.9, "2.9", "3", float("nan"))] == [None, None, 2, None, 3, None]
     assert [as_bool(x) for x in ("true", " YES ", "1", "false", "", 1, 0, None)] == [True, True, True, False, False, True, False, False]
-    assert [detect_format(x) for x in ({"nodes": [{"id": 1}]}, {"nodes": [{"id": 1, "type": "x"}]}, {"links": [1]})] == ["generic", "graphify", "graphify"]
+    assert [detect_format(x) for x in (dict(nodes=[dict(id=1)]), dict(nodes=[dict(id=1, type="x")]), dict(links=[1]))] == ["generic", "graphify", "graphify"]
 
 
 PY = "import os, json as j\nfrom .a import b\nclass Validate:\n    def check(self):\n        import sys\nasync def login():\n    pass\nif True:\n    def hidden(): pass\n"
@@ -122,7 +122,7 @@ def test_project_index(spark, tmp_path):
     (root / "link.py").symlink_to(root / "pkg/a.py")
     assert source_files(root) == ["bad.py", "pkg/a.py", "pkg/b.go", "x/pkg/a.py"]
     g = index_project(spark, root)
-    assert {r["id"]: r["source_file"] for r in g.nodes.collect()} == {"pkg_a": "pkg/a.py", "pkg_a_a": "pkg/a.py", "pkg_b": "pkg/b.go", "pkg_b_b": "pkg/b.go", "pkg_a_z": "x/pkg/a.py"}
+    assert {r["id"]: r["source_file"] for r in g.nodes.collect()} == dict(pkg_a="pkg/a.py", pkg_a_a="pkg/a.py", pkg_b="pkg/b.go", pkg_b_b="pkg/b.go", pkg_a_z="x/pkg/a.py")
     assert [tuple(r) for r in clashes(parse_project(spark, root)).collect()] == [("pkg_a", "pkg/a.py", "x/pkg/a.py")]
     assert g.edges.count() == 3
     few = index_project(spark, root, ignore=lambda node, i: node["source_file"].startswith("x/"))
@@ -143,7 +143,7 @@ def test_code(spark, tmp_path):
     for bad in ("../secret.txt", "/etc/passwd", "../../../../etc/passwd"):
         assert safe_path(tmp_path, bad) is None
     file(tmp_path, "m.py", text)
-    g = Graph.from_records(spark, [{"id": "a", "source_file": "m.py", "source_location": "L4"}, {"id": "b", "source_file": "/etc/passwd", "source_location": "L1"}, {"id": "c"}])
+    g = Graph.from_records(spark, [dict(id="a", source_file="m.py", source_location="L4"), dict(id="b", source_file="/etc/passwd", source_location="L1"), dict(id="c")])
     assert [n.get("code_block") for n in inject_code(g, tmp_path).to_dict()["nodes"]] == ["def alpha():\n    x = 1\n\n    return x", None, None]
     assert inject_code(g, tmp_path, max_nodes=2) is g
 
@@ -151,7 +151,7 @@ def test_code(spark, tmp_path):
 def test_audit(spark, tmp_path):
     assert read_audit(spark, tmp_path).count() == 0
     for q, top in (("one", ["a", "b"]), ("two", ["b", *map(str, range(20))])):
-        log_query(q, "g.json", {"nodes_selected": 2, "tokens_used": 9}, top, tmp_path)
+        log_query(q, "g.json", dict(nodes_selected=2, tokens_used=9), top, tmp_path)
     with (tmp_path / "audit.jsonl").open("a") as out:
         out.write('{broken\n\n"text"\n[1]\n')
     rows = read_audit(spark, tmp_path).orderBy("timestamp").collect()
@@ -167,8 +167,8 @@ def test_audit(spark, tmp_path):
 def shop(spark):
     return Graph.from_records(
         spark,
-        [{"id": "auth", "label": "Auth", "type": "class", "description": "login: checks", "importance": 9.0, "is_god": True, "community": 1, "source_file": "auth.py"}, {"id": "login", "label": "login", "type": "function"}, {"id": "db", "label": "</script>", "type": "class"}],
-        [{"source": "auth", "target": "login", "relation": "calls"}, {"source": "login", "target": "db", "relation": "uses", "weight": 0.8}],
+        [dict(id="auth", label="Auth", type="class", description="login: checks", importance=9.0, is_god=True, community=1, source_file="auth.py"), dict(id="login", label="login", type="function"), dict(id="db", label="</script>", type="class")],
+        [dict(source="auth", target="login", relation="calls"), dict(source="login", target="db", relation="uses", weight=0.8)],
     )
 
 
@@ -180,7 +180,7 @@ def test_rendering(spark, shop):
     few = select_subgraph(shop, scores, 20)
     assert f"Tip: {3 - few.stats['nodes_selected']} node(s)" in render.format_subgraph(few)
     data = json.loads(render.format_subgraph(s, "json", scores))
-    assert [n["id"] for n in data["nodes"]] == ["login", "auth", "db"] and data["edges"][1] == {"source": "login", "target": "db", "relation": "uses", "weight": 0.8} and data["nodes"][0]["score"] == 1.0
+    assert [n["id"] for n in data["nodes"]] == ["login", "auth", "db"] and data["edges"][1] == dict(source="login", target="db", relation="uses", weight=0.8) and data["nodes"][0]["score"] == 1.0
     yml = render.format_subgraph(s, "yaml")
     assert 'description: "login: checks"' in yml and yml.index("id: auth") < yml.index("id: db")
     with pytest.raises(ValueError):
@@ -189,7 +189,7 @@ def test_rendering(spark, shop):
     page = render.build_html(s, scores, "<b>")
     assert "&lt;b&gt;" in page and page.count("</script>") == 1 and "<polygon" in page
     view = render.View(s)
-    assert {r["id"]: r["value"] for r in render.node_records(view)} == {"auth": 25.0, "login": 40.0, "db": 25.0}
+    assert {r["id"]: r["value"] for r in render.node_records(view)} == dict(auth=25.0, login=40.0, db=25.0)
     assert "No nodes selected" in render.build_html(select_subgraph(shop, scores, 0))
 
 
@@ -197,7 +197,7 @@ def test_engine_and_server(spark, shop, tmp_path):
     folder = f"file://{tmp_path}"
     engine = Engine(shop, folder, max_iter=5)
     assert (tmp_path / artifacts_path(shop, "x").removeprefix("x/")).exists()
-    ask = lambda method, mid=1, **params: respond(engine, json.dumps({"jsonrpc": "2.0", "id": mid, "method": method, "params": params}))
+    ask = lambda method, mid=1, **params: respond(engine, json.dumps(dict(jsonrpc="2.0", id=mid, method=method, params=params)))
     tool = lambda name, **args: ask("tools/call", name=f"tessergraph_{name}", arguments=args)
     text = lambda r: r["result"]["content"][0]["text"]
     assert ask("initialize")["result"]["protocolVersion"] and ask("ping")["result"] == {} and len(ask("tools/list")["result"]["tools"]) == 4
@@ -230,7 +230,7 @@ def test_command_line(spark, tmp_path, monkeypatch, capsys):
     assert run(spark, ["path", "a", "3"]) == 0 and "2 hop" in capsys.readouterr().out
     assert run(spark, ["explain", "zz"]) == 1
     assert run(spark, ["init"]) == 0 and (tmp_path / ".tessergraphignore").exists()
-    file(tmp_path, "new.json", {"nodes": [{"id": "a", "label": "Changed"}], "links": []})
+    file(tmp_path, "new.json", dict(nodes=[dict(id="a", label="Changed")], links=[]))
     assert run(spark, ["diff", "graph.json", "new.json"]) == 0 and "-2 removed" in capsys.readouterr().out
     file(tmp_path, "src/a.py", "def f(): pass\n")
     assert run(spark, ["index", "src", "-o", "out/graph.json"]) == 0 and "Indexed 1 files: 2 nodes, 1 edges" in capsys.readouterr().out

@@ -33,13 +33,13 @@ def values(df, column="score"):
 
 
 AUTH = [
-    {"id": "auth", "label": "AuthService", "type": "class", "description": "user authentication and login", "importance": 9.0, "is_god": True, "community": 1},
-    {"id": "login", "label": "login", "type": "function", "description": "log a user in", "community": 1},
-    {"id": "logout", "label": "logout", "type": "function", "description": "end the session", "community": 1},
-    {"id": "db", "label": "Database", "type": "class", "description": "connection pool", "community": 2},
-    {"id": "ui", "label": "Button", "type": "class", "description": "draw a button", "community": 3},
+    dict(id="auth", label="AuthService", type="class", description="user authentication and login", importance=9.0, is_god=True, community=1),
+    dict(id="login", label="login", type="function", description="log a user in", community=1),
+    dict(id="logout", label="logout", type="function", description="end the session", community=1),
+    dict(id="db", label="Database", type="class", description="connection pool", community=2),
+    dict(id="ui", label="Button", type="class", description="draw a button", community=3),
 ]
-AUTH_LINKS = [{"source": "auth", "target": "login"}, {"source": "auth", "target": "logout", "weight": 0.9}, {"source": "login", "target": "db", "weight": 0.8}]
+AUTH_LINKS = [dict(source="auth", target="login"), dict(source="auth", target="logout", weight=0.9), dict(source="login", target="db", weight=0.8)]
 
 
 @pytest.fixture(scope="module")
@@ -67,19 +67,19 @@ def test_spark_tokens_equal_python_tokens(spark):
 def test_merging_and_defaults(spark):
     g = Graph.from_records(
         spark,
-        [{"id": "a", "label": "old", "community": 3, "is_god": True}, {"id": "b", "file_type": "weird"}, {"id": "a", "label": "new"}],
-        [{"source": "a", "target": "b", "weight": 1.0, "extra": {"k": '"v"'}}, {"source": "a", "target": "b", "weight": 2.0}, *links("a>zz")],
+        [dict(id="a", label="old", community=3, is_god=True), dict(id="b", file_type="weird"), dict(id="a", label="new")],
+        [dict(source="a", target="b", weight=1.0, extra=dict(k='"v"')), dict(source="a", target="b", weight=2.0), *links("a>zz")],
     )
     a = g.nodes.filter("id = 'a'").first()
     assert (a["label"], a["community"], a["is_god"], a["ord"]) == ("new", 3, True, 0)
     b = g.nodes.filter("id = 'b'").first()
     assert (b["label"], b["file_type"]) == ("b", "concept")
     e = g.edges.collect()
-    assert len(e) == 1 and e[0]["weight"] == 2.0 and e[0]["extra"] == {"k": '"v"'}
+    assert len(e) == 1 and e[0]["weight"] == 2.0 and e[0]["extra"] == dict(k='"v"')
 
 
 def test_cliques_and_induced(spark):
-    g = Graph.from_records(spark, nodes("a", "b", "c"), links("a>b b>c"), [{"id": "h", "nodes": ["a", "b", "gone"], "confidence_score": 0.8}, {"id": "one", "nodes": ["a"]}])
+    g = Graph.from_records(spark, nodes("a", "b", "c"), links("a>b b>c"), [dict(id="h", nodes=["a", "b", "gone"], confidence_score=0.8), dict(id="one", nodes=["a"])])
     assert sorted(map(tuple, g.clique_edges().collect())) == [("a", "b", 0.4), ("b", "a", 0.4)]
     assert {(r["src"], r["dst"]): round(r["w"], 6) for r in adjacency(g).collect()} == {("a", "b"): 1.4, ("b", "a"): 0.4, ("b", "c"): 1.0}
     sub = g.induced(spark.createDataFrame([("a",), ("b",)], "id string"))
@@ -99,7 +99,7 @@ def plain_bm25(texts, query):
 
 
 def test_bm25(spark, tmp_path):
-    texts = {"n1": "recalcularPlayerStats recompute player statistics after a match", "n2": "renderScoreboard draw the match scoreboard on screen", "n3": "loadConfig read settings from disk", "n4": ""}
+    texts = dict(n1="recalcularPlayerStats recompute player statistics after a match", n2="renderScoreboard draw the match scoreboard on screen", n3="loadConfig read settings from disk", n4="")
     index = BM25Index.build(spark.createDataFrame(list(texts.items()), "id string, text string"))
     for query in ("match", "player match match", "nothing here", ""):
         got, want = values(index.scores(query)), plain_bm25(texts, query)
@@ -133,30 +133,30 @@ def test_pagerank_equals_plain_version(spark):
     rng = random.Random(5)
     ids = [f"n{i}" for i in range(12)]
     pairs = {(rng.choice(ids), rng.choice(ids[:9])): rng.randint(1, 5) / 2 for _ in range(25)}
-    g = Graph.from_records(spark, nodes(*ids), [{"source": u, "target": v, "weight": w} for (u, v), w in pairs.items()])
+    g = Graph.from_records(spark, nodes(*ids), [dict(source=u, target=v, weight=w) for (u, v), w in pairs.items()])
     uniform = {i: 1 / 12 for i in ids}
     assert values(global_pagerank(g, max_iter=4, tol=0)) == pytest.approx(plain_rank(ids, pairs, uniform, rounds=4, tol=0))
     seeds = spark.createDataFrame([("n1", 1.0), ("n3", 3.0), ("zz", 9.0), ("n4", -1.0)], "id string, score double")
-    restart = dict.fromkeys(ids, 0.0) | {"n1": 0.25, "n3": 0.75}
+    restart = dict.fromkeys(ids, 0.0) | dict(n1=0.25, n3=0.75)
     assert values(personalized_pagerank(g, seeds, max_iter=4, tol=0)) == pytest.approx(plain_rank(ids, pairs, restart, rounds=4, tol=0))
 
 
 def test_pagerank_of_tiny_graphs(spark):
     assert global_pagerank(Graph.from_records(spark, [])).count() == 0
-    assert values(global_pagerank(Graph.from_records(spark, nodes("a")))) == {"a": 1.0}
-    assert values(global_pagerank(Graph.from_records(spark, nodes("a", "b")))) == pytest.approx({"a": 0.5, "b": 0.5})
+    assert values(global_pagerank(Graph.from_records(spark, nodes("a")))) == dict(a=1.0)
+    assert values(global_pagerank(Graph.from_records(spark, nodes("a", "b")))) == pytest.approx(dict(a=0.5, b=0.5))
 
 
 def test_fusion(spark):
     table = lambda d: spark.createDataFrame(list(d.items()), "id string, score double")
-    fused = values(fusion.fuse(table({"a": 1.0, "b": 1.0, "c": 0.0}), table({"c": 1.0}), global_pr=table({"a": 0.2, "b": 1.0, "c": 1.0})))
+    fused = values(fusion.fuse(table(dict(a=1.0, b=1.0, c=0.0)), table(dict(c=1.0)), global_pr=table(dict(a=0.2, b=1.0, c=1.0))))
     assert fused["b"] > fused["a"] and fused["c"] == 0
-    rrf = values(fusion.reciprocal_rank_fusion([table({"a": 0.9, "b": 0.1, "c": 0.05}), table({"b": 0.95, "a": 0.2, "c": 0.1})]))
+    rrf = values(fusion.reciprocal_rank_fusion([table(dict(a=0.9, b=0.1, c=0.05)), table(dict(b=0.95, a=0.2, c=0.1))]))
     assert min(rrf, key=rrf.get) == "c" and rrf["a"] == pytest.approx(1 / 61 + 1 / 62)
-    assert values(max_normalised(table({"a": 2.0, "b": 1.0}))) == {"a": 1.0, "b": 0.5}
-    assert values(max_normalised(table({"a": 0.0}))) == {"a": 0.0}
-    prior = fusion.importance_prior(Graph.from_records(spark, [{"id": "a", "importance": 2.0}, {"id": "b", "importance": 5.0}, {"id": "g", "importance": 0.1, "is_god": True}]))
-    assert values(prior) == {"a": 0.4, "b": 1.0, "g": 1.0}
+    assert values(max_normalised(table(dict(a=2.0, b=1.0)))) == dict(a=1.0, b=0.5)
+    assert values(max_normalised(table(dict(a=0.0)))) == dict(a=0.0)
+    prior = fusion.importance_prior(Graph.from_records(spark, [dict(id="a", importance=2.0), dict(id="b", importance=5.0), dict(id="g", importance=0.1, is_god=True)]))
+    assert values(prior) == dict(a=0.4, b=1.0, g=1.0)
 
 
 def test_scores(spark, auth):
@@ -255,7 +255,7 @@ def test_repair_joins_parts(spark):
 
 def test_walks(spark):
     g = Graph.from_records(spark, nodes(*"abcdefz"), links("a>b b>c c>d d>e e>f a>c"))
-    assert values(k_hop(g, spark.createDataFrame([("c",), ("none",)], "id string"), 1), "distance") == {"c": 0, "b": 1, "d": 1, "a": 1}
+    assert values(k_hop(g, spark.createDataFrame([("c",), ("none",)], "id string"), 1), "distance") == dict(c=0, b=1, d=1, a=1)
     assert shortest_path(g, "a", "d") == (["a", "c", "d"], True)
     assert shortest_path(g, "d", "a") == (["d", "c", "a"], False)
     assert shortest_path(g, "a", "z") is None and shortest_path(g, "a", "a") == (["a"], True)
@@ -265,8 +265,8 @@ def test_walks(spark):
 
 
 def test_diff(spark):
-    old = Graph.from_records(spark, [*nodes("a", "c"), {"id": "b", "description": "x"}], links("a>b b>c"))
-    new = Graph.from_records(spark, [*nodes("a", "d"), {"id": "b", "description": "y", "importance": 2.0}], links("a>b b>d"))
+    old = Graph.from_records(spark, [*nodes("a", "c"), dict(id="b", description="x")], links("a>b b>c"))
+    new = Graph.from_records(spark, [*nodes("a", "d"), dict(id="b", description="y", importance=2.0)], links("a>b b>d"))
     d = diff_graphs(old, new)
     assert {(r["kind"], r["id"] or f"{r['src']}>{r['dst']}") for r in d.collect()} == {("added", "d"), ("removed", "c"), ("modified", "b"), ("added", "b>d"), ("removed", "b>c")}
     assert {r["id"] for r in affected_subgraph(d, new, 0).nodes.collect()} == {"b", "d"}
@@ -290,7 +290,7 @@ def test_ignore_patterns(spark, pattern, hits, misses):
 def test_ignore_negation_and_graph(spark):
     rule = Ignore.from_lines(["*.py", "!keep.py"])
     assert rule.matches("a.py") and not rule.matches("keep.py")
-    g = Graph.from_records(spark, [{"id": "m", "source_file": "src/main.py"}, {"id": "k", "source_file": "keep.py"}, {"id": "n"}], links("m>k k>n"))
+    g = Graph.from_records(spark, [dict(id="m", source_file="src/main.py"), dict(id="k", source_file="keep.py"), dict(id="n")], links("m>k k>n"))
     assert {r["id"] for r in apply_ignore(g, rule).nodes.collect()} == {"k", "n"}
     assert apply_ignore(g, None) is g
 
