@@ -10,7 +10,7 @@ import corpus_pipeline
 from tessergraph.llm import embed_dedup, url_filter
 from tessergraph.llm.bpe import bpe_round_trip
 from tessergraph.llm.common import documents
-from tessergraph.llm.lz_fingerprint import lz_similar_pairs
+from tessergraph.llm.lz_fingerprint import NEAR, lz_similar_pairs
 from tessergraph.llm.ngram_join import ngram_jaccard_join
 from tessergraph.llm.packing import pack_documents
 from tessergraph.llm.pii import scan_pii
@@ -52,7 +52,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_pii": lambda spark, sf_dir: scan_pii(documents(spark, sf_dir)),
         "op5_toxicity": lambda spark, sf_dir: toxicity(documents(spark, sf_dir), _labels(spark, sf_dir)),
         "op6_embedding_near_dedup": lambda spark, sf_dir: embed_dedup.embedding_near_dedup(spark.read.parquet(f"{sf_dir}/embeddings.parquet")),
-        "op7_lz_fingerprint": lambda spark, sf_dir: lz_similar_pairs(documents(spark, sf_dir)),
+        "op7_lz_fingerprint": lambda spark, sf_dir: lz_similar_pairs(documents(spark, sf_dir), NEAR, perms=384),
         "op8_packing": lambda spark, sf_dir: pack_documents(documents(spark, sf_dir)),
         "op9_secret_scan": lambda spark, sf_dir: scan_secrets(documents(spark, sf_dir)),
         "op10_token_counts": lambda spark, sf_dir: token_counts(documents(spark, sf_dir)),

@@ -151,3 +151,13 @@ def test_lz_of_odd_rows(spark, odd, empty):
     same = {(a, b): (x == y).mean() for a, x in prints for b, y in prints if a < b and (x == y).mean() >= 0.85}
     assert got == pytest.approx(same) and got[7, 8] == 1.0
     assert lz_similar_pairs(empty).count() == 0 and lz_fingerprints(odd.filter(F.col("text") == "")).count() == 0
+
+
+def test_lz_finds_near_copies_of_texts(spark, sf):
+    big = sf.replace("sf0.001", "sf0.01")
+    texts = {r["doc_id"]: r["text"] for r in queries.documents(spark, big).collect()}
+    near = {(r["doc_a"], r["doc_b"]) for r in queries.queries()["op1_ngram_jaccard_join"](spark, big).collect() if texts[r["doc_a"]] != texts[r["doc_b"]]}
+    got = {(r["doc_a"], r["doc_b"]) for r in queries.queries()["op7_lz_fingerprint"](spark, big).collect()}
+    assert len(near & got) >= 0.95 * len(near) > 0
+    unlike = [(a, b) for a, b in got - near if len(grams(texts[a]) & grams(texts[b])) <= 5 and texts[a] != texts[b] and min(len(texts[a]), len(texts[b])) > 300]
+    assert not unlike
