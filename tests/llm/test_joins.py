@@ -161,3 +161,12 @@ def test_lz_finds_near_copies_of_texts(spark, sf):
     assert len(near & got) >= 0.95 * len(near) > 0
     unlike = [(a, b) for a, b in got - near if len(grams(texts[a]) & grams(texts[b])) <= 5 and texts[a] != texts[b] and min(len(texts[a]), len(texts[b])) > 300]
     assert not unlike
+
+
+def test_lz_similarity_does_not_follow_the_number_of_documents(spark):
+    rows = [(i, t) for i, t in families(8, 25, 6) if len(t) > 60]
+    other = [(1000 + i, "".join(random.Random(i).choices("ijklmnopqrst", k=30))) for i in range(3_000)]
+    some = {tuple(r) for r in lz_similar_pairs(spark.createDataFrame(rows, "doc_id long, text string"), 0.6, 0.9999).collect()}
+    many = {tuple(r) for r in lz_similar_pairs(spark.createDataFrame(rows + other, "doc_id long, text string"), 0.6, 0.9999).collect() if r["doc_b"] < 1000}
+    value = {(a, b): s for a, b, s in some}
+    assert some and all(value.get((a, b), s) == s for a, b, s in many) and len({x[:2] for x in many} & set(value)) >= 0.9 * len(some)
