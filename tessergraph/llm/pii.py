@@ -19,13 +19,23 @@ _HOST = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ012345678
 _DIGITS = frozenset("0123456789")
 _NUMBER = frozenset("0123456789 .-()+")
 _SCHEME = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+.-")
-_IBAN_LENGTH = {"AT": 20, "BE": 16, "CH": 21, "CZ": 24, "DE": 22, "DK": 18, "ES": 24, "FI": 18, "FR": 27, "GB": 22, "GR": 27, "HU": 28, "IE": 22, "IT": 27, "LU": 20, "NL": 18, "NO": 15, "PL": 28, "PT": 25, "SE": 24}
+#: Length by country of the IBAN registry.
+_IBAN_LENGTH = {
+    "AD": 24, "AE": 23, "AL": 28, "AT": 20, "AZ": 28, "BA": 20, "BE": 16, "BG": 22, "BH": 22, "BI": 27, "BR": 29, "BY": 28, "CH": 21, "CR": 22, "CY": 28, "CZ": 24, "DE": 22, "DJ": 27, "DK": 18, "DO": 28,
+    "EE": 20, "EG": 29, "ES": 24, "FI": 18, "FK": 18, "FO": 18, "FR": 27, "GB": 22, "GE": 22, "GI": 23, "GL": 18, "GR": 27, "GT": 28, "HN": 28, "HR": 21, "HU": 28, "IE": 22, "IL": 23, "IQ": 23, "IS": 26,
+    "IT": 27, "JO": 30, "KW": 30, "KZ": 20, "LB": 28, "LC": 32, "LI": 21, "LT": 20, "LU": 20, "LV": 21, "LY": 25, "MC": 27, "MD": 24, "ME": 22, "MK": 19, "MN": 20, "MR": 27, "MT": 31, "MU": 30, "NI": 28,
+    "NL": 18, "NO": 15, "OM": 23, "PK": 24, "PL": 28, "PS": 29, "PT": 25, "QA": 29, "RO": 24, "RS": 22, "RU": 33, "SA": 24, "SC": 31, "SD": 18, "SE": 24, "SI": 19, "SK": 24, "SM": 27, "SO": 23, "ST": 25,
+    "SV": 28, "TL": 23, "TN": 24, "TR": 26, "UA": 29, "VA": 22, "VG": 24, "XK": 20, "YE": 30,
+}
 _IPV4 = re.compile(r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?!\.?\d)")
-_CARD = re.compile(r"(?<![\d.\-])\d(?:[ -]?\d){12,18}(?![\d\-])")
+#: Digit groups that single blanks or hyphens join; a card is some groups on end.
+_CARDS = re.compile(r"(?<![\d.])\d+(?:[ -]\d+)*")
+_GROUP = re.compile(r"\d+")
+_USUAL = re.compile(r"\d+|4,4,4,4(?:,[123])?|4,4,4,[123]|4,6,[45]")
 _PLAIN = re.compile(r"(?<!\d)\d{16}(?!\d)")
 _PHONE = re.compile(r"(?<![\d.\-+])(?:\+1[ .-]?\(?\d{3}\)?[ .-]?\d{3}[ .-]?\d{4}|\+\d{1,3}[ .-]?\(?\d{1,4}\)?(?:[ .-]?\d{2,4}){2,4}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?![\d\-])")
 _NATIONAL = re.compile(r"(?<![\d\-])(?!000|666|9\d\d)\d{3}-(?!00)\d{2}-(?!0000)\d{4}(?![\d\-])")
-_IBAN = re.compile(r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]){11,30}")
+_IBAN = re.compile(r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]){11,29}")
 
 
 def _automaton() -> ahocorasick.Automaton:
@@ -97,6 +107,32 @@ def _iban(text: str, at: int) -> tuple[int, int] | None:
     return (at, hi) if int("".join(str(int(c, 36)) for c in code[4:] + code[:4])) % 97 == 1 else None
 
 
+def _cards(groups: list[tuple[int, int]], text: str) -> Iterator[tuple[int, int, str]]:
+    """Whole groups of 13 to 19 digits in all that pass the Luhn test, from each group on, the longest first. Those spaced as
+    cards are go before others, which might else cut them."""
+    left = [groups]
+    for usual in (True, False):
+        rest = []
+        for run in left:
+            at = start = 0
+            while at < len(run):
+                digits, last = "", None
+                for k in range(at, len(run)):
+                    digits += text[slice(*run[k])]
+                    if len(digits) > 19:
+                        break
+                    if len(digits) >= 13 and len(set(digits)) > 1 and (not usual or _USUAL.fullmatch(",".join(str(b - a) for a, b in run[at : k + 1]))) and luhn(digits):
+                        last = k
+                if last is None:
+                    at += 1
+                    continue
+                yield run[at][0], run[last][1], "card"
+                rest.append(run[start:at])
+                at = start = last + 1
+            rest.append(run[start:])
+        left = rest
+
+
 def _numbers(text: str, lo: int, hi: int) -> Iterator[tuple[int, int, str]]:
     """Identifiers in text[lo:hi], which neither begins nor ends inside a run of digits and number marks."""
     for m in _IPV4.finditer(text, lo, hi):
@@ -104,10 +140,9 @@ def _numbers(text: str, lo: int, hi: int) -> Iterator[tuple[int, int, str]]:
             yield m.start(), m.end(), "ipv4"
     for m in _NATIONAL.finditer(text, lo, hi):
         yield m.start(), m.end(), "national_id"
-    for m in _CARD.finditer(text, lo, hi):
-        digits = re.sub(r"[ -]", "", m.group())
-        if len(set(digits)) > 1 and luhn(digits):
-            yield m.start(), m.end(), "card"
+    for m in _CARDS.finditer(text, lo, hi):
+        if m.end() - m.start() >= 13:
+            yield from _cards([g.span() for g in _GROUP.finditer(text, m.start(), m.end())], text)
     for m in _PLAIN.finditer(text, lo, hi):
         yield m.start(), m.end(), "card" if luhn(m.group()) else "account"
     for m in _PHONE.finditer(text, lo, hi):

@@ -226,3 +226,15 @@ def test_secrets_of_odd_rows(spark, odd, empty):
     df = spark.createDataFrame([(1, KEY), (1, KEY), (None, KEY), (2, "w " * 200_000 + KEY)], "doc_id long, text string")
     got = [(r["doc_id"], r["start"], r["end"], r["depth"]) for r in scan_secrets(df).collect()]
     assert sorted(got, key=str) == sorted([(1, 0, 20, 0), (1, 0, 20, 0), (None, 0, 20, 0), (2, 400_000, 400_020, 0)], key=str)
+
+
+@pytest.mark.parametrize("text", ["{} 12/27", "{} 123", "pay 2 {}", "no 12 34 {} 5 6", "on 2024-05-01 {} 12"])
+def test_card_next_to_numbers(text):
+    card = "4111 1111 1111 1111"
+    at = text.index("{}")
+    assert (at, at + len(card), "card") in find_pii(text.format(card))
+
+
+@pytest.mark.parametrize("iban", ["RO49AAAA1B31007593840000", "HR1210010051863000160", "BG80BNBG96611020345678", "SK3112000000198742637541", "SI56263300012039086", "TR330006100519786457841326", "SA0380000000608010167519", "AE070331234567890123456", "MT84MALT011000012345MTLCAST001S"])
+def test_ibans_of_the_whole_registry(iban):
+    assert find_pii(f"to {iban}, x") == [(3, 3 + len(iban), "iban")]
