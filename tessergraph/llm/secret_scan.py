@@ -7,6 +7,7 @@ import binascii
 import hashlib
 import math
 import re
+import struct
 import zlib
 from collections import Counter, deque
 from collections.abc import Iterator
@@ -40,7 +41,11 @@ _PERCENT = re.compile(r"[^\s%\"'<>]*(?:%[0-9A-Fa-f]{2}[^\s%\"'<>]*)+")
 _ESCAPE = re.compile(r"\\u\{([0-9A-Fa-f]{1,6})\}|\\u([0-9A-Fa-f]{4})|\\x([0-9A-Fa-f]{2})|\\U([0-9A-Fa-f]{8})")
 _ESCAPED = re.compile(r"(?:[^\s\\]*\\(?:u\{[0-9A-Fa-f]{1,6}\}|u[0-9A-Fa-f]{4}|x[0-9A-Fa-f]{2}|U[0-9A-Fa-f]{8}))+[^\s\\]*")
 _BASE64 = re.compile(r"(?<![A-Za-z0-9+/_\-])[A-Za-z0-9+/_\-]{16,}={0,2}")
-_BINARY = re.compile(r"[\x00-\x08\x0e-\x1f\x7f\ufffd]")
+#: Base64 over several lines, as base64 and MIME wrap it.
+_WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_\-])[A-Za-z0-9+/_\-]{16,}(?:[ \t]*\r?\n[ \t>]*[A-Za-z0-9+/_\-]+)+={0,2}")
+_LINE = re.compile(r"[A-Za-z0-9+/_\-]+")
+_CODED = re.compile(r"%[0-9A-Fa-f]{2}|\\[uxU]|[A-Za-z0-9+/_\-]{16}")
+_STRAY = re.compile("[\udc80-\udcff]")
 
 
 def entropy(s: str) -> float:
@@ -57,22 +62,32 @@ class Layer:
         return min(self.lo[start:end]), max(self.hi[start:end])
 
 
-def _from_bytes(raw: bytes, lo: list[int], hi: list[int], path: tuple[str, ...]) -> Layer | None:
-    """A layer of bytes that are readable UTF-8, each with its span."""
-    try:
-        text = raw.decode("utf-8")
-    except UnicodeDecodeError:
-        return None
-    if not text or _BINARY.search(text):
-        return None
-    if len(text) < len(raw):
-        starts, at = [], 0
+def _texts(raw: bytes) -> Iterator[tuple[str, list[int]]]:
+    """Readings of bytes, and each character's first byte with the end of the last: UTF-8, where a stray byte is one character,
+    and with NULs UTF-16, at even and odd places, which reads ASCII of either byte order. Those in which nothing could be
+    found or decoded are left out."""
+    text = raw.decode("utf-8", "surrogateescape")
+    if _useful(text):
+        at = [0]
         for c in text:
-            starts.append(at)
-            at += len(c.encode("utf-8"))
-        ends = [*starts[1:], at]
-        lo, hi = [lo[a] for a in starts], [hi[b - 1] for b in ends]
-    return Layer(text, lo, hi, path)
+            at.append(at[-1] + len(c.encode("utf-8", "surrogateescape")))
+        yield _STRAY.sub("\ufffd", text), at
+    for odd in (0, 1) if b"\0" in raw else ():
+        n = (len(raw) - odd) // 2
+        text = "".join("\ufffd" if 0xD800 <= u < 0xE000 else chr(u) for (u,) in struct.iter_unpack("<H", raw[odd : odd + 2 * n]))
+        if _useful(text):
+            yield text, [odd + 2 * i for i in range(n + 1)]
+
+
+def _useful(text: str) -> bool:
+    low = text.lower()
+    return _CODED.search(text) is not None or any(c in low for _, cues, *_ in RULES for c in cues)
+
+
+def _from_bytes(raw: bytes, lo: list[int], hi: list[int], path: tuple[str, ...]) -> Iterator[Layer]:
+    """Layers of the readings of bytes, each byte with its span."""
+    for text, at in _texts(raw):
+        yield Layer(text, [lo[a] for a in at[:-1]], [hi[b - 1] for b in at[1:]], path)
 
 
 def _percent(layer: Layer) -> Iterator[Layer | None]:
@@ -86,7 +101,7 @@ def _percent(layer: Layer) -> Iterator[Layer | None]:
             lo += [a] * k
             hi += [b] * k
             i += n
-        yield _from_bytes(unquote_to_bytes(m.group()), lo, hi, (*layer.path, "url"))
+        yield from _from_bytes(unquote_to_bytes(m.group().encode("utf-8", "surrogatepass")), lo, hi, (*layer.path, "url"))
 
 
 def _escapes(layer: Layer) -> Iterator[Layer | None]:
@@ -121,11 +136,22 @@ def _unpack(raw: bytes) -> tuple[str, bytes | None] | None:
     return None
 
 
+def _runs(text: str) -> Iterator[list[int]]:
+    """Places of the characters of each run of base64: on one line, and over the lines of a wrapped block, also without
+    the lines before the first two of equal length."""
+    for m in _BASE64.finditer(text):
+        yield list(range(m.start(), m.start() + len(m.group().rstrip("="))))
+    for m in _WRAPPED.finditer(text):
+        lines = [x.span() for x in _LINE.finditer(text, m.start(), m.end())]
+        even = next((i for i in range(len(lines) - 1) if lines[i][1] - lines[i][0] == lines[i + 1][1] - lines[i + 1][0]), max(0, len(lines) - 2))
+        for first in {0, even}:
+            yield [i for a, b in lines[first:] for i in range(a, b)]
+
+
 def _base64(layer: Layer) -> Iterator[Layer | None]:
-    for m in _BASE64.finditer(layer.text):
-        body = m.group().rstrip("=")
-        if len(body) % 4 == 1:
-            continue
+    for at in _runs(layer.text):
+        at = at[:-1] if len(at) % 4 == 1 else at
+        body = "".join(map(layer.text.__getitem__, at))
         try:
             raw = base64.b64decode(body.replace("-", "+").replace("_", "/") + "=" * (-len(body) % 4))
         except binascii.Error:
@@ -134,24 +160,14 @@ def _base64(layer: Layer) -> Iterator[Layer | None]:
         while raw and (inner := _unpack(raw)):
             path, raw, packed = (*path, inner[0]), inner[1], True
         if raw is None:
-            yield Layer("", *([x] for x in layer.span(m.start(), m.end())), (*path, "oversized"))
+            yield Layer("", *([x] for x in layer.span(at[0], at[-1] + 1)), (*path, "oversized"))
         elif packed:
-            a, b = layer.span(m.start(), m.end())
-            yield _from_bytes(raw, [a] * len(raw), [b] * len(raw), path)
-        else:
+            a, b = layer.span(at[0], at[-1] + 1)
+            yield from _from_bytes(raw, [a] * len(raw), [b] * len(raw), path)
+        elif next(_texts(raw), None):
             # Byte i is spread over the characters from 4i/3, rounded down, to 4(i+1)/3, rounded up.
-            if not _readable(raw):
-                continue
-            s = m.start()
-            spans = [layer.span(s + 4 * i // 3, min(s + len(body), s - (-4 * (i + 1) // 3))) for i in range(len(raw))]
-            yield _from_bytes(raw, [a for a, _ in spans], [b for _, b in spans], path)
-
-
-def _readable(raw: bytes) -> bool:
-    try:
-        return not _BINARY.search(raw.decode("utf-8"))
-    except UnicodeDecodeError:
-        return False
+            spans = [layer.span(at[4 * i // 3], at[min(len(at), -(-4 * (i + 1) // 3)) - 1] + 1) for i in range(len(raw))]
+            yield from _from_bytes(raw, [a for a, _ in spans], [b for _, b in spans], path)
 
 
 def find_secrets(text: str) -> list[tuple[int, int, str, str, str]]:

@@ -238,3 +238,15 @@ def test_card_next_to_numbers(text):
 @pytest.mark.parametrize("iban", ["RO49AAAA1B31007593840000", "HR1210010051863000160", "BG80BNBG96611020345678", "SK3112000000198742637541", "SI56263300012039086", "TR330006100519786457841326", "SA0380000000608010167519", "AE070331234567890123456", "MT84MALT011000012345MTLCAST001S"])
 def test_ibans_of_the_whole_registry(iban):
     assert find_pii(f"to {iban}, x") == [(3, 3 + len(iban), "iban")]
+
+
+@pytest.mark.parametrize(
+    "coded",
+    [
+        base64.b64encode(b"\x01\xff key " + KEY.encode() + b" \xe9 end").decode(), base64.b64encode(f"key {KEY} end".encode("utf-16")).decode(), base64.b64encode(f"key {KEY} end".encode("utf-16-be")).decode(),
+        "http://h/caf%E9?k=" + KEY.replace("K", "%4B", 1), base64.encodebytes(gzip.compress(random.Random(5).randbytes(300) + f" key {KEY} end".encode())).decode(), base64.encodebytes(b"x" * 50 + f" {KEY} ".encode() + b"y" * 90).decode(),
+    ],
+)
+def test_secrets_in_layers_that_are_not_clean_text(coded):
+    hits = [h for h in find_secrets(f"before {coded} after") if h[2] == "aws_access_key"]
+    assert hits and all(h[4] == KEY for h in hits) and 7 <= hits[0][0] < hits[0][1] <= 7 + len(coded)
