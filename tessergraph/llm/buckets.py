@@ -1,13 +1,15 @@
 """Sets that share a bucket: their likely pairs, which buckets belong together, and the pairs of one task.
 
-Rows are ``bucket long, g long, n0..n3 long``: a set's handle in one bucket, and 64 nibbles of its MinHash. Pairs are
-formed in tasks only, never shuffled, so that shuffles grow with the sets and not with their pairs.
+Rows are ``bucket long, g long, n0..n3 long``: a set's handle in one bucket, and a sketch of 32 bytes. Pairs are formed
+in tasks only, never shuffled, so that shuffles grow with the sets and not with their pairs. A result has one row for
+each document: its class, and how many links it has.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -15,17 +17,31 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessergraph.llm.common import save
+from tessergraph.llm.common import attach, save
 from tessergraph.llm.components import connected_components
 
 SKETCH = 64
 NIBBLES = ["n0", "n1", "n2", "n3"]
 MEMBER = "bucket long, g long, n0 long, n1 long, n2 long, n3 long"
-#: Components of more sets are compared bucket by bucket, and their pairs made distinct by a shuffle.
-LARGEST = 5_000
+#: A cell, the unit of comparison, has about so many sets, and payloads of about so many bytes.
+CELL, CELL_BYTES = 2_000, 16 << 20
+#: Components that would be cut into more blocks than this are compared bucket by bucket instead.
+BLOCKS = 20
 U = np.uint64
-#: Equal nibbles in a byte's XOR.
-_EQUAL = np.array([(b >> 4 == 0) + (b & 15 == 0) for b in range(256)], np.uint8)
+_BYTE = np.arange(256)
+#: How much two sketches agree in a byte, by its XOR.
+_AGREE = {"nibbles": ((_BYTE >> 4 == 0).astype(np.uint8) + (_BYTE & 15 == 0)).astype(np.uint8), "bits": np.array([8 - bin(b).count("1") for b in _BYTE], np.uint8)}
+
+
+@dataclass(frozen=True)
+class Alike:
+    """Whether sketches agree in ``least`` nibbles or bits or more."""
+
+    unit: str
+    least: int
+
+    def __call__(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return _AGREE[self.unit][a ^ b].sum(axis=1, dtype=np.uint16) >= self.least
 
 
 def nibbles(mixed: np.ndarray) -> np.ndarray:
@@ -34,26 +50,30 @@ def nibbles(mixed: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(x[:, ::2] << 4 | x[:, 1::2]).view(np.int64)
 
 
-def least_equal(threshold: float) -> int:
+def alike_nibbles(threshold: float) -> Alike:
     """Nibbles that agree at least: four standard deviations below the mean of a pair at the threshold. Unequal hashes
     agree in a nibble by chance once in 16."""
     p = threshold + (1 - threshold) / 16
-    return max(1, int(SKETCH * p - 4 * math.sqrt(SKETCH * p * (1 - p))))
+    return Alike("nibbles", max(1, int(SKETCH * p - 4 * math.sqrt(SKETCH * p * (1 - p)))))
 
 
-def likely(bucket: np.ndarray, nibbles: np.ndarray, least: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Row pairs of equal bucket, in rows sorted by bucket, whose sketches agree in ``least`` nibbles or more."""
+def likely(bucket: np.ndarray, side: np.ndarray, sketch: np.ndarray, alike: Alike) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Row pairs of equal bucket, in rows sorted by bucket, with alike sketches. Where rows have a ``side`` other than 0, only
+    those of different sides make pairs."""
     start = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
     end = np.repeat(np.concatenate([start[1:], [len(bucket)]]), np.diff(np.concatenate([start, [len(bucket)]])))
     later = end - np.arange(len(bucket)) - 1
-    upto = np.cumsum(later)
+    upto, split = np.cumsum(later), bool(side.any())
     lo = 0
     while lo < len(bucket):
         hi = max(lo + 1, int(np.searchsorted(upto, (upto[lo - 1] if lo else 0) + 400_000, "right")))
         n = later[lo:hi]
         a = np.repeat(np.arange(lo, hi), n)
         b = a + 1 + np.arange(len(a)) - np.repeat(np.cumsum(n) - n, n)
-        same = _EQUAL[nibbles[a] ^ nibbles[b]].sum(axis=1, dtype=np.uint16) >= least
+        if split:
+            across = (side[a] == 0) | (side[a] != side[b])
+            a, b = a[across], b[across]
+        same = alike(sketch[a], sketch[b])
         yield a[same], b[same]
         lo = hi
 
@@ -73,11 +93,26 @@ def forest(nodes: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
             return root
 
 
-def nibble_bytes(batch) -> np.ndarray:
+def sketch_bytes(batch) -> np.ndarray:
     return np.ascontiguousarray(np.stack([np.asarray(batch[c]) for c in NIBBLES], axis=1)).view(np.uint8)
 
 
-def _spanning(least: int):
+def cells(rows: DataFrame, limit: int) -> DataFrame:
+    """``MEMBER`` and ``side`` from ``MEMBER`` and the bucket's number of rows ``n``: a bucket of more than ``limit`` rows is cut
+    into blocks, and each two blocks, or one with itself, make a cell in its place, so that each two rows meet in one."""
+    small = rows.filter(F.col("n") <= limit).select("bucket", "g", *NIBBLES, F.lit(0).cast("byte").alias("side"))
+    cut = _paired(rows.filter(F.col("n") > limit), F.ceil(F.col("n") * 2 / limit).cast("int"))
+    return small.unionByName(cut.select(F.xxhash64("bucket", "_lo", "_hi").alias("bucket"), "g", *NIBBLES, "side"))
+
+
+def _paired(rows: DataFrame, blocks) -> DataFrame:
+    """Each row once for every pair of blocks ``(_lo, _hi)`` that has its own, with the ``side`` it is on there."""
+    rows = rows.withColumn("_own", F.pmod(F.xxhash64("g", F.lit(77)), blocks).cast("int")).withColumn("_other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    side = F.when(F.col("_own") == F.col("_other"), 0).when(F.col("_own") < F.col("_other"), 1).otherwise(2)
+    return rows.withColumn("_lo", F.least("_own", "_other")).withColumn("_hi", F.greatest("_own", "_other")).withColumn("side", side.cast("byte"))
+
+
+def _spanning(alike: Alike):
     """Spanning edges (a, b) of each bucket's likely pairs; the input is sorted by bucket, a bucket may span batches."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -93,7 +128,7 @@ def _spanning(least: int):
             if table is None or not table.num_rows:
                 continue
             bucket, g = np.asarray(table["bucket"]), np.asarray(table["g"])
-            for a, b in likely(bucket, nibble_bytes(table), least):
+            for a, b in likely(bucket, np.asarray(table["side"]), sketch_bytes(table), alike):
                 rows, both = np.unique(np.concatenate([a, b]), return_inverse=True)
                 root = forest(len(rows), both[: len(a)], both[len(a) :])
                 far = root != np.arange(len(rows))
@@ -107,34 +142,63 @@ def _ended(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]
     yield None
 
 
-def routes(leaves: DataFrame, least: int) -> DataFrame:
-    """``(g, component, huge)`` of every set that has a likely pair: the component of likely pairs that it is in."""
-    edges = leaves.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_spanning(least), "a long, b long")
-    parts = save(connected_components(edges), "components")
-    sizes = parts.groupBy("component").agg(F.count("*").alias("m"))
-    return save(parts.join(sizes, "component").select(F.col("node").alias("g"), "component", (F.col("m") > LARGEST).alias("huge")), "routes")
+def routes(leaves: DataFrame, groups: DataFrame, alike: Alike) -> DataFrame:
+    """``(g, rep, size, bytes, component, blocks, huge)`` of every set of ``groups(g, rep, size, bytes)`` that has a likely pair: the
+    component of likely pairs that it is in, and into how many blocks that is cut."""
+    edges = leaves.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_spanning(alike), "a long, b long")
+    parts = connected_components(edges).select(F.col("node").alias("g"), "component")
+    parts = save(parts.join(groups.select("g", "rep", "size", "bytes"), "g"), "components")
+    sizes = parts.groupBy("component").agg(F.count("*").alias("m"), F.sum("bytes").alias("b"))
+    need = F.ceil(F.greatest(F.col("m") / CELL, F.col("b") / CELL_BYTES) * 2).cast("int")
+    sizes = sizes.select("component", F.when((F.col("m") <= CELL) & (F.col("b") <= CELL_BYTES), 1).otherwise(need).alias("blocks"))
+    return save(attach(parts, sizes, "component", parts.count()).withColumn("huge", F.col("blocks") > BLOCKS), "routes")
 
 
-def blocked(leaves: DataFrame, route: DataFrame, count: int, huge: bool) -> tuple[DataFrame, DataFrame]:
-    """The rows of the routed sets, and ``(block, g)`` where each is needed; a block is the work of one task.
+def _tasks(cost) -> int:
+    return max(1, math.ceil(max(cost["m"] / CELL, cost["b"] / CELL_BYTES)))
 
-    Components stay whole, about 2000 sets to a block. Huge ones are spread by bucket, so their pairs may turn up in
-    several blocks.
-    """
-    rows = leaves.join(route, "g")
-    block = F.pmod(F.xxhash64("bucket" if huge else "component"), F.lit(max(1, math.ceil(count / 2000) * (16 if huge else 1)))).cast("int")
-    rows = rows.withColumn("block", block).select("block", "bucket", "g", *NIBBLES)
-    # Both tables are cogrouped, so the second must not carry the first one's attributes.
-    place = rows.select("block", "g").distinct() if huge else route.select(block.alias("block"), "g")
-    return rows, place.select(F.col("block").alias("block"), F.col("g").alias("g"))
 
+def compared(leaves: DataFrame, routed: DataFrame, payload, compare, columns: str = "g long, root long, rep long, n long") -> DataFrame | None:
+    """The union of ``compare`` over all tasks, each with the bucket rows of some cells and the payloads of their sets.
 
-def task_pairs(member: pd.DataFrame, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    ``payload(sets)`` gives ``(block, g, rep, size, buckets, ...)`` for ``sets(block, g, rep, size, buckets)``. A component stays whole
+    as a cell or is cut into blocks, each two of which make one; tasks take cells of about CELL sets and CELL_BYTES in all.
+    Huge components are spread by bucket instead; there ``buckets`` lists all buckets of the set, by which a pair that meets
+    in several tasks is counted in one of them only.
+    """
+    found = None
+    for huge in (False, True):
+        route = routed.filter("huge" if huge else "not huge")
+        copies = F.lit(1) if huge else F.col("blocks")
+        cost = route.agg(F.sum(copies).alias("m"), F.sum(F.col("bytes") * copies).alias("b")).first()
+        if not cost["m"]:
+            continue
+        if huge:
+            rows = leaves.join(route.select("g", "rep", "size", "bytes"), "g")
+            total = rows.agg(F.count("*").alias("m"), F.sum("bytes").alias("b")).first()
+            block = F.pmod(F.xxhash64("bucket"), F.lit(_tasks(total))).cast("int")
+            rows = rows.select(block.alias("block"), "bucket", "g", "rep", "size", *NIBBLES, F.lit(0).cast("byte").alias("side"))
+            lists = rows.groupBy("g").agg(F.array_sort(F.collect_set("bucket")).alias("buckets"))
+            sets = rows.select("block", "g", "rep", "size").distinct().join(lists, "g")
+        else:
+            place = _paired(route, F.col("blocks")).withColumn("cell", F.xxhash64("component", "_lo", "_hi"))
+            place = place.select("g", "rep", "size", F.pmod("cell", F.lit(_tasks(cost))).cast("int").alias("block"), "cell", "side")
+            rows = leaves.drop("side").join(place, "g").withColumn("bucket", F.xxhash64("bucket", "cell"))
+            sets = place.select("block", "g", "rep", "size", F.lit(None).cast("array<long>").alias("buckets"))
+        rows = rows.select("block", "bucket", "g", *NIBBLES, "side")
+        # Both tables are cogrouped, so the second must not carry the first one's attributes.
+        sets = sets.select(*[F.col(c).alias(c) for c in ("block", "g", "rep", "size", "buckets")])
+        part = rows.groupBy("block").cogroup(payload(sets).groupBy("block")).applyInPandas(compare, columns)
+        found = part if found is None else found.unionByName(part)
+    return found
+
+
+def task_pairs(member: pd.DataFrame, alike: Alike) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Handles, and each likely pair of them once, as indices."""
     member = member.sort_values("bucket", kind="stable")
     keys, node = np.unique(member["g"].to_numpy(), return_inverse=True)
     seen = [np.zeros(0, np.int64)]
-    for a, b in likely(member["bucket"].to_numpy(), nibble_bytes(member), least):
+    for a, b in likely(member["bucket"].to_numpy(), member["side"].to_numpy(), sketch_bytes(member), alike):
         x, y = node[a], node[b]
         seen.append(np.unique((np.minimum(x, y) * len(keys) + np.maximum(x, y))[x != y]))
         if len(seen) > 32:
@@ -143,26 +207,42 @@ def task_pairs(member: pd.DataFrame, least: int) -> tuple[np.ndarray, np.ndarray
     return keys, left, right
 
 
-def task_result(ids: list[np.ndarray], left: np.ndarray, right: np.ndarray, value: np.ndarray, spanning: bool) -> pd.DataFrame:
-    """Pairs (x, y, value) of the documents of paired sets, or as ``spanning`` edges between their first documents that
-    connect as much."""
-    first = np.array([m[0] for m in ids], np.int64)
-    if spanning:
-        root = forest(len(ids), left, right)
-        return pd.DataFrame({"x": first[root], "y": first, "value": 1.0})[root != np.arange(len(ids))]
-    size = np.array([len(m) for m in ids], np.int64)
-    if not len(left) or (size[left] * size[right] == 1).all():
-        return pd.DataFrame({"x": first[left], "y": first[right], "value": value})
-    xs = np.concatenate([np.repeat(ids[i], size[k]) for i, k in zip(left, right)])
-    ys = np.concatenate([np.tile(ids[k], size[i]) for i, k in zip(left, right)])
-    return pd.DataFrame({"x": xs, "y": ys, "value": np.repeat(value, size[left] * size[right])})
-
-
-def all_pairs(groups: DataFrame, near: DataFrame, name: str) -> DataFrame:
-    """``(doc_a, doc_b, name)`` from groups ``(g, ids)`` of equal documents and pairs ``(x, y, value)`` of unequal ones."""
-    several = groups.filter("size(ids) > 1").select("ids", F.explode("ids").alias("x"))
-    same = several.select("x", F.explode("ids").alias("y"), F.lit(1.0).alias("value")).filter("x < y")
-    out = same.unionByName(near.filter("x <> y")).select(F.least("x", "y").alias("doc_a"), F.greatest("x", "y").alias("doc_b"), F.col("value").alias(name))
-    if groups.select(F.explode("ids").alias("x")).groupBy("x").count().filter("count > 1").isEmpty():
-        return out
-    return out.groupBy("doc_a", "doc_b").agg(F.max(name).alias(name))
+def task_result(member: pd.DataFrame, sets: pd.DataFrame, keys: np.ndarray, left: np.ndarray, right: np.ndarray, value: np.ndarray, pairs: bool) -> pd.DataFrame:
+    """``(g, root, rep, n)`` of each set in a verified pair: the documents of the sets that it is paired with, and the
+    representative of its part of the task's pairs; or, as ``pairs``, ``(x, y, value)`` of representatives."""
+    row = dict(zip(sets["g"], zip(sets["rep"], sets["size"], sets["buckets"])))
+    info = [row[k] for k in keys.tolist()]
+    if info and info[0][2] is not None:
+        here = set(member["bucket"].tolist())
+        lists = [frozenset(x[2].tolist()) for x in info]
+        own = np.array([min(lists[a] & lists[b]) in here for a, b in zip(left.tolist(), right.tolist())], bool)
+        left, right, value = left[own], right[own], value[own]
+    rep, size = np.array([x[0] for x in info], np.int64), np.array([x[1] for x in info], np.int64)
+    if pairs:
+        return pd.DataFrame({"x": np.minimum(rep[left], rep[right]), "y": np.maximum(rep[left], rep[right]), "value": value})
+    n = np.bincount(left, size[right], len(keys)) + np.bincount(right, size[left], len(keys))
+    root, some = forest(len(keys), left, right), n > 0
+    return pd.DataFrame({"g": keys, "root": rep[root], "rep": rep, "n": n.astype(np.int64)})[some]
+
+
+def document_classes(records: DataFrame, groups: DataFrame, found: DataFrame | None) -> DataFrame:
+    """``(doc_id, class_id, links)`` of every document of ``records(g, doc_id)``.
+
+    ``groups(g, rep, size)`` has the smallest document of each set and how many there are, ``found`` the result of
+    :func:`compared`. ``class_id`` is the smallest document that chains of links reach; a link is a pair of records of
+    different documents, or of one with several texts, whose sets are paired or the same. Records without a set have
+    no link.
+    """
+    inside, total = records.filter("g is not null"), records.count()
+    several = save(inside.groupBy("doc_id").agg(F.count("*").alias("c")).filter("c > 1").select("doc_id"), "several")
+    links = groups.select("g", "rep", (F.col("size") - 1).alias("own"))
+    edges = inside.join(several, "doc_id", "left_semi").join(groups.select("g", "rep"), "g").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+    if found is not None:
+        found = save(found, "found")
+        edges = edges.unionByName(found.filter("root <> rep").select(F.col("root").alias("a"), F.col("rep").alias("b")))
+        links = links.join(found.groupBy("g").agg(F.sum("n").alias("n")), "g", "left").select("g", "rep", (F.col("own") + F.coalesce("n", F.lit(0))).alias("own"))
+    parts = connected_components(edges).select(F.col("node").alias("rep"), "component")
+    values = links.join(parts, "rep", "left").filter("own > 0 or component is not null").select("g", F.coalesce("component", "rep").alias("class_id"), F.col("own").alias("links"))
+    hit = attach(inside, values, "g", total, "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("links", F.lit(0)).alias("links"))
+    rest = records.filter("g is null").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("links"))
+    return hit.unionByName(rest).groupBy("doc_id").agg(F.min("class_id").alias("class_id"), F.sum("links").alias("links"))

@@ -65,6 +65,24 @@ def _clean() -> None:
         shutil.rmtree(path, ignore_errors=True)
 
 
+#: Keys with more rows than this are not joined by a shuffle, as all their rows would meet in one task.
+HOT = 1_000_000
+
+
+def attach(rows: DataFrame, values: DataFrame, key: str, total: int, how: str = "inner") -> DataFrame:
+    """``rows.join(values, key, how)`` for ``values`` with one row a key and ``total`` rows, inner or left.
+
+    Keys of more than HOT rows, of which there are at most total / HOT, get their values by broadcast.
+    """
+    if total <= HOT:
+        return rows.join(values, key, how)
+    hot = save(rows.groupBy(key).count().filter(F.col("count") > HOT).select(key), "hot")
+    if hot.isEmpty():
+        return rows.join(values, key, how)
+    some = save(values.join(F.broadcast(hot), key, "left_semi"), "hot")
+    return rows.join(F.broadcast(hot), key, "left_semi").join(F.broadcast(some), key, how).unionByName(rows.join(F.broadcast(hot), key, "left_anti").join(values, key, how))
+
+
 def id_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Just the two columns an operator needs, under fixed names, so that no extra column can clash."""
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))

@@ -11,11 +11,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessergraph.llm.common import save
-from tessergraph.llm.components import connected_components
+from tessergraph.llm.buckets import CELL, MEMBER, NIBBLES, Alike, cells, compared, document_classes, routes, task_pairs, task_result
+from tessergraph.llm.common import attach, save
 
-#: A bucket of more vectors is cut into cells of pairs of blocks of this size, which separate tasks compare.
-BLOCK = 2000
+#: Signs in the sketch by which members of a bucket are told apart before exact verification.
+SIGNS = 256
+
+
+def bits_needed(vectors: int) -> int:
+    """Signs in a bucket's code: one more each time the vectors double, so that about 64 unrelated ones share a bucket at any
+    size; their sketches are compared quickly."""
+    return max(8, math.ceil(math.log2(max(vectors, 2))) - 6)
 
 
 def tables_needed(threshold: float, bits: int, recall: float) -> int:
@@ -25,102 +31,116 @@ def tables_needed(threshold: float, bits: int, recall: float) -> int:
     return max(1, math.ceil(math.log(1 - recall) / math.log1p(-same))) if same < 1 else 1
 
 
-def _unit(vectors: list) -> tuple[np.ndarray, np.ndarray]:
-    """Which vectors can be compared, and those at unit length."""
-    size = max((len(v) for v in vectors if v is not None), default=0)
-    good = np.array([v is not None and len(v) == size and None not in v for v in vectors], bool)
-    x = np.array([v for v, g in zip(vectors, good) if g], np.float64).reshape(int(good.sum()), size)
-    norm = np.sqrt((x * x).sum(axis=1))
-    fine = np.isfinite(norm) & (norm > 0)
-    good[np.flatnonzero(good)[~fine]] = False
-    return good, x[fine] / norm[fine, None]
+def alike_signs(threshold: float) -> Alike:
+    """Signs of the sketch that agree at least: five standard deviations below the mean of a pair at the threshold."""
+    p = 1 - math.acos(threshold) / math.pi
+    return Alike("bits", max(0, int(SIGNS * p - 5 * math.sqrt(SIGNS * p * (1 - p)))))
+
+
+def _unit(vectors: np.ndarray) -> np.ndarray:
+    """The vectors at unit length; all are finite and none is zero."""
+    x = vectors.astype(np.float64)
+    x = x / np.abs(x).max(axis=1, keepdims=True)
+    return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
 def _buckets(dim: int, tables: int, bits: int, seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        planes = np.random.default_rng(seed).normal(size=(dim, tables * bits))
+        rng = np.random.default_rng(seed)
+        planes, sketching = rng.normal(size=(dim, tables * bits)), rng.normal(size=(dim, SIGNS))
         place = 1 << np.arange(bits, dtype=np.int64)
-        for batch in batches:
-            good, x = _unit(batch.column("v").to_pylist())
-            signs = (x @ planes > 0).reshape(len(x), tables, bits)
-            code = signs.astype(np.int64) @ place + (np.arange(tables, dtype=np.int64) << 40)
-            rows = np.repeat(np.flatnonzero(good), tables)
-            yield pa.record_batch({"id": batch.column("id").take(pa.array(rows)), "bucket": code.ravel()})
+        for whole in batches:
+            for lo in range(0, whole.num_rows, 2048):
+                batch = whole.slice(lo, 2048)
+                x = _unit(np.asarray(batch.column("v").flatten()).reshape(-1, dim))
+                sketch = np.packbits(x @ sketching > 0, axis=1).view(np.int64)
+                code = (x @ planes > 0).reshape(len(x), tables, bits).astype(np.int64) @ place
+                for t in range(tables):
+                    yield pa.record_batch({"bucket": code[:, t] | t << 48, "g": batch.column("g"), **{c: np.ascontiguousarray(sketch[:, i]) for i, c in enumerate(NIBBLES)}})
 
     return run
 
 
-def _compare(threshold: float):
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("bucket", kind="stable")
-        good, x = _unit(group["v"].tolist())
-        group = group[good]
-        ids, blk = group["id"].to_numpy(), group["blk"].to_numpy()
-        bucket, cell = group["bucket"].to_numpy(), group["crosses"].to_numpy()
-        cuts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]]))
-        parts = []
-        for lo, hi in zip(cuts[:-1], cuts[1:]):
-            for at in range(lo, hi, 512):
-                to = min(hi, at + 512)
-                cos = x[at:to] @ x[lo:hi].T
-                a, b = np.nonzero(cos >= threshold)
-                keep = (ids[at + a] < ids[lo + b]) & (~cell[at + a] | (blk[at + a] != blk[lo + b]))
-                parts.append(pd.DataFrame({"a": ids[at + a][keep], "b": ids[lo + b][keep], "cosine": np.minimum(1.0, cos[a, b][keep])}))
-        return pd.concat(parts) if parts else pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64), "cosine": np.zeros(0)})
+def _compare(threshold: float, dim: int, alike: Alike, pairs: bool):
+    def run(member: pd.DataFrame, sets: pd.DataFrame) -> pd.DataFrame:
+        keys, left, right = task_pairs(member, alike)
+        row = dict(zip(sets["g"], sets["v"]))
+        x = _unit(np.stack([np.asarray(row[k]) for k in keys.tolist()])) if len(keys) else np.zeros((0, dim))
+        cos = np.zeros(len(left))
+        for lo in range(0, len(left), 50_000):
+            cos[lo : lo + 50_000] = np.einsum("ij,ij->i", x[left[lo : lo + 50_000]], x[right[lo : lo + 50_000]])
+        good = cos >= threshold
+        return task_result(member, sets, keys, left[good], right[good], np.minimum(1.0, cos[good]), pairs)
 
     return run
 
 
-def embedding_pairs(vectors: DataFrame, threshold: float = 0.9, bits: int = 12, recall: float = 0.99, seed: int = 11) -> DataFrame:
-    """Pairs ``(a, b, cosine)``, a < b, of ``vectors(id, v)`` with a cosine of at least ``threshold``.
-
-    Each of several tables hashes a vector by the signs of ``bits`` random projections; vectors that share a bucket in
-    any table are compared exactly. The number of tables follows from ``recall``, the chance of finding a pair right at
-    the threshold. A bucket of more than BLOCK vectors is cut into blocks, and each pair of blocks is one cell, so no
-    task grows with the fullest bucket and no candidate is dropped.
-
-    Rows with a null id, a null vector or element, no finite length above 0, or another size than most have no pair.
-    Repeated rows count once; an id with several vectors is paired by its most similar ones, never with itself.
+def _found(vectors: DataFrame, threshold: float, bits: int | None, recall: float, seed: int, pairs: bool) -> tuple[DataFrame, DataFrame | None, DataFrame | None]:
+    """Records ``(g, doc_id)``, a null g for vectors that cannot be compared; groups ``(g, rep, size)`` of equal vectors; and what
+    their comparison gives, see :func:`tessergraph.llm.buckets.compared`."""
+    kind = vectors.schema["v"].dataType.simpleString()
+    v = F.col("v") if kind == "array<float>" else F.col("v").cast("array<double>")
+    rows = vectors.select(F.col("id").cast("long").alias("doc_id"), v.alias("v")).filter("doc_id is not null")
+    fine = ~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists("v", lambda x: x != 0)
+    dim = rows.filter(fine).groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
+    usual = fine & (F.size("v") == (dim["n"] if dim else -1))
+    rows = rows.withColumn("g", F.when(F.coalesce(usual, F.lit(False)), F.xxhash64("v")))
+    records = save(rows.select("g", "doc_id").distinct(), "records")
+    groups = records.filter("g is not null").groupBy("g").agg(F.min("doc_id").alias("rep"), F.count("*").alias("size"), F.lit(8 * (dim["n"] if dim else 0)).cast("long").alias("bytes"))
+    groups = save(groups, "groups")
+    count = groups.count()
+    if not count:
+        return records, groups.select("g", "rep", "size"), None
+    # One vector of each group: that of its representative.
+    first = rows.filter("g is not null").groupBy("g").agg(F.first("v").alias("v")) if count < records.count() else rows.filter("g is not null").select("g", "v")
+    first = save(first, "vectors")
+    bits = bits_needed(count) if bits is None else bits
+    member = first.mapInArrow(_buckets(dim["n"], tables_needed(threshold, bits, recall), bits, seed), MEMBER)
+    sizes = member.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
+    leaves, alike = save(cells(member.join(sizes, "bucket"), CELL), "leaves"), alike_signs(threshold)
+    columns = "x long, y long, value double" if pairs else "g long, root long, rep long, n long"
+    found = compared(leaves, routes(leaves, groups, alike), lambda sets: sets.join(first, "g"), _compare(threshold, dim["n"], alike, pairs), columns)
+    return records, groups.select("g", "rep", "size"), found
+
+
+def embedding_pairs(vectors: DataFrame, threshold: float = 0.9, bits: int | None = None, recall: float = 0.99, seed: int = 11) -> tuple[DataFrame, DataFrame]:
+    """Pairs ``(a, b, cosine)``, a < b, of class representatives, and the membership ``(id, representative)``.
+
+    A class holds the ids of one vector of ``vectors(id, v)``; its representative is the smallest of them. All pairs of
+    classes with a cosine of at least ``threshold`` are returned; see :func:`embedding_near_dedup`.
     """
-    v = vectors.select(F.col("id").cast("long").alias("id"), F.col("v").cast("array<double>").alias("v")).dropna()
-    dim = v.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    if dim is None or dim["n"] == 0:
-        return vectors.sparkSession.createDataFrame([], "a long, b long, cosine double")
-    v = save(v.filter(F.size("v") == dim["n"]).distinct(), "vectors")
-    rows = v.mapInArrow(_buckets(dim["n"], tables_needed(threshold, bits, recall), bits, seed), "id long, bucket long")
-    sizes = rows.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
-    rows = rows.distinct().join(sizes, "bucket")
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    rows = rows.withColumn("blk", F.pmod(F.xxhash64("id"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    cell = F.xxhash64("bucket", F.least("blk", "other"), F.greatest("blk", "other"))
-    rows = rows.select("id", "blk", F.when(F.col("n") > BLOCK, cell).otherwise(F.col("bucket")).alias("bucket"), (F.col("blk") != F.col("other")).alias("crosses"), F.col("n"))
-    total = max(1, math.ceil((sizes.agg(F.sum("n")).first()[0] or 0) / (2 * BLOCK)))
-    rows = rows.withColumn("task", F.pmod(F.xxhash64("bucket"), F.lit(total)).cast("int"))
-    # Cells off the diagonal hold both blocks; there only pairs across blocks count, on it all pairs.
-    found = rows.join(v, "id").groupBy("task").applyInPandas(_compare(threshold), "a long, b long, cosine double")
-    return found.groupBy("a", "b").agg(F.max("cosine").alias("cosine"))
-
-
-def embedding_near_dedup(vectors: DataFrame, threshold: float = 0.9, bits: int = 12, recall: float = 0.99) -> DataFrame:
-    """``(vec_id, component, size, kept)`` of every embedding in ``vectors(vec_id, embedding)``.
-
-    ``component`` is the smallest id that chains of pairs of :func:`embedding_pairs` reach, ``size`` the number of
-    ids in the component, and ``kept`` holds for its smallest id. Vectors that cannot be compared are components of
-    their own. Each id is returned once; rows with a null id are left out; an empty table gives an empty result. Other
-    columns are ignored.
+    records, groups, found = _found(vectors, threshold, bits, recall, seed, True)
+    members = records.join(groups.select("g", F.col("rep").alias("representative")), "g").select(F.col("doc_id").alias("id"), "representative")
+    if found is None:
+        found = vectors.sparkSession.createDataFrame([], "x long, y long, value double")
+    return found.select(F.col("x").alias("a"), F.col("y").alias("b"), F.col("value").alias("cosine")), members
+
+
+def embedding_near_dedup(vectors: DataFrame, threshold: float = 0.9, bits: int | None = None, recall: float = 0.99, seed: int = 11) -> DataFrame:
+    """``(vec_id, component, size, links, kept)`` of every embedding in ``vectors(vec_id, embedding)``.
+
+    Each of several tables hashes a vector by the signs of random projections; ``bits`` of them make a bucket, as many as
+    the number of vectors asks for unless given. Vectors that share a bucket in any table and agree in enough of another 256
+    signs are compared exactly. The number of tables follows from ``recall``, the chance of finding a pair right at the
+    threshold. Full buckets are cut into cells, so no task grows with the fullest bucket and no candidate is dropped.
+
+    ``links`` is the number of ids with a cosine of at least ``threshold``; ``component`` is the smallest id that chains of
+    links reach, ``size`` the number of ids in the component, and ``kept`` holds for its smallest id. Vectors that cannot be
+    compared (null, with a null, NaN or infinite element, without length, or of another size than most) are components of
+    their own. Repeated rows count once; an id with several vectors has the links of all. Each id is returned once; a null
+    id is left out; an empty table gives an empty result. Other columns are ignored.
     """
-    v = vectors.select(F.col("vec_id").cast("long").alias("id"), F.col("embedding").alias("v"))
-    parts = connected_components(embedding_pairs(v, threshold, bits, recall))
-    ids = v.select("id").dropna().distinct().join(parts, F.col("id") == F.col("node"), "left")
-    ids = ids.select("id", F.coalesce("component", "id").alias("component"))
-    sizes = ids.groupBy("component").agg(F.count("*").alias("size"))
-    return ids.join(sizes, "component").select(F.col("id").alias("vec_id"), "component", "size", (F.col("id") == F.col("component")).alias("kept"))
+    v = vectors.select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
+    ids = save(document_classes(*_found(v, threshold, bits, recall, seed, False)), "classes")
+    sizes = ids.groupBy("class_id").agg(F.count("*").alias("size"))
+    out = attach(ids, sizes, "class_id", ids.count())
+    return out.select(F.col("doc_id").alias("vec_id"), F.col("class_id").alias("component"), "size", "links", (F.col("doc_id") == F.col("class_id")).alias("kept"))
 
 
 ORACLE = """
 with recursive e as (select vec_id, embedding::double[] as v from embeddings),
-p as (select a.vec_id as a, b.vec_id as b from e a join e b on a.vec_id <> b.vec_id and list_cosine_similarity(a.v, b.v) >= 0.9),
+p as materialized (select a.vec_id as a, b.vec_id as b from e a join e b on a.vec_id <> b.vec_id and list_cosine_similarity(a.v, b.v) >= 0.9),
 r(id, other) as (select vec_id, vec_id from e union select r.id, p.b from r join p on p.a = r.other),
-c as (select id, min(other) as component, count(*) as size from r group by id)
-select id as vec_id, component, size, id = component as kept from c
+c as (select id, min(other) as component, count(*) as size from r group by id), l as (select a, count(*) as links from p group by a)
+select id as vec_id, component, size, coalesce(links, 0) as links, id = component as kept from c left join l on a = id
 """

@@ -8,7 +8,8 @@ runs are repeated until the target recall holds for such a pair at the depth lim
 
 Families of thousands of copies have millions of pairs, so pairs are never shuffled. Buckets first yield only a
 spanning forest of their likely pairs; its connected components say which buckets belong together. All buckets of a
-component then meet in one task with one copy of each text, where pairs are formed, made distinct and verified.
+component then meet in one task, or in one for each two blocks of a large one, with one copy of each text, where pairs
+are formed, made distinct, verified and counted.
 """
 
 from __future__ import annotations
@@ -23,9 +24,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessergraph.llm import hashing as H
-from tessergraph.llm.buckets import MEMBER, NIBBLES, SKETCH, all_pairs, blocked, least_equal, nibbles, routes, task_pairs, task_result
+from tessergraph.llm.buckets import CELL, MEMBER, NIBBLES, SKETCH, alike_nibbles, cells, compared, document_classes, nibbles, routes, task_pairs, task_result
 from tessergraph.llm.common import id_text, save, unused
-from tessergraph.llm.components import connected_components
 
 #: So many ids of documents to verify are broadcast at most (about 30 MB); beyond it the join shuffles both sides.
 BROADCAST_ROWS = 1_000_000
@@ -44,20 +44,25 @@ def runs_needed(recall: float, depth: int) -> int:
     return max(1, math.ceil(math.log(1 - recall) / math.log(lost)))
 
 
+def depth_needed(sets: int) -> int:
+    """Splits until a token's bucket is small: more as the corpus grows, each for a factor of 64."""
+    return max(3, math.ceil(math.log(max(sets, 2)) / math.log(64)))
+
+
 def _scan(n: int):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start, texts in H.slices(batch.column("text")):
                 h, bounds = H.words(texts)
-                g1, g2 = H.sequence_ids(h, bounds)
+                g = H.sequence_ids(h, bounds)[0].view(np.int64)
                 sig = H.minhash(*H.ngrams(h, bounds, n), SKETCH)
-                some = np.flatnonzero(bounds[1:] > bounds[:-1])
+                none = bounds[1:] == bounds[:-1]
                 yield pa.record_batch(
                     {
-                        "doc_id": batch.column("doc_id").slice(start, len(texts)).take(pa.array(some)),
-                        "g": g1.view(np.int64)[some],
-                        "g2": g2.view(np.int64)[some],
-                        "sketch": pa.array([r.tobytes() for r in sig[some]], pa.binary()),
+                        "doc_id": batch.column("doc_id").slice(start, len(texts)),
+                        "g": pa.array(g, mask=none),
+                        "bytes": pa.array(np.diff(bounds), pa.int64()),
+                        "sketch": pa.array([None if x else r.tobytes() for x, r in zip(none.tolist(), sig)], pa.binary()),
                     }
                 )
 
@@ -91,8 +96,8 @@ def _split(rate: float, runs: int | None):
 
 
 def _leaves(sketches: DataFrame, threshold: float, runs: int, depth: int, brute: int) -> DataFrame:
-    """Rows of ``MEMBER``: the sets to compare in each final bucket. Buckets still too large at the depth limit are cut
-    into cells, so that each two of their sets meet in one cell."""
+    """``MEMBER`` and ``side``: the sets to compare in each final bucket. Buckets still too large at the depth limit are cut into
+    cells, so that each two of their sets meet in one cell."""
     rate = 1 / (threshold * SKETCH)
     member = sketches.mapInArrow(_split(rate, runs), MEMBER)
     out = None
@@ -100,14 +105,10 @@ def _leaves(sketches: DataFrame, threshold: float, runs: int, depth: int, brute:
         counts = member.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
         member = member.join(counts, "bucket")
         if level == depth:
-            blocks = F.ceil(F.col("n") * 2 / brute).cast("int")
-            cut = member.filter(F.col("n") > brute).withColumn("blk", F.pmod(F.xxhash64("g"), blocks).cast("int"))
-            cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-            cut = cut.withColumn("bucket", F.xxhash64("bucket", F.least("blk", "other"), F.greatest("blk", "other")))
-            here = cut.select("bucket", "g", *NIBBLES).unionByName(member.filter(F.col("n") <= brute).drop("n"))
+            here = cells(member, CELL)
             return save(here if out is None else out.unionByName(here), "leaves")
         member = save(member, "members")
-        here = member.filter(F.col("n") <= brute).drop("n")
+        here = member.filter(F.col("n") <= brute).drop("n").withColumn("side", F.lit(0).cast("byte"))
         out = here if out is None else out.unionByName(here)
         large = member.filter(F.col("n") > brute).select("bucket", "g")
         if large.isEmpty():
@@ -116,16 +117,17 @@ def _leaves(sketches: DataFrame, threshold: float, runs: int, depth: int, brute:
     return out
 
 
-def _verify(n: int, threshold: float, least: int, spanning: bool):
+def _verify(n: int, threshold: float, alike, pairs: bool):
     def verify(member: pd.DataFrame, texts: pd.DataFrame) -> pd.DataFrame:
         sets: dict[int, np.ndarray] = {}
+        texts = texts.drop_duplicates(["g", "text"])
         for _, part in H.slices(pa.array(texts["text"], pa.string())):
             h, bounds = H.words(part)
             grams, at = H.ngrams(h, bounds, n)
             for i, key in enumerate(H.sequence_ids(h, bounds)[0].view(np.int64).tolist()):
                 if key not in sets:
                     sets[key] = np.unique(grams[at[i] : at[i + 1]])
-        keys, left, right = task_pairs(member, least)
+        keys, left, right = task_pairs(member, alike)
         arrays, js = [sets[k] for k in keys.tolist()], np.zeros(len(left))
         for at, (i, k) in enumerate(zip(left.tolist(), right.tolist())):
             x, y = arrays[i], arrays[k]
@@ -135,68 +137,76 @@ def _verify(n: int, threshold: float, least: int, spanning: bool):
                 common = int(np.count_nonzero(y.take(np.searchsorted(y, x), mode="clip") == x))
                 js[at] = common / (len(x) + len(y) - common)
         good = js >= threshold
-        ids = dict(zip(texts["g"], texts["ids"]))
-        return task_result([np.unique(np.asarray(ids[k], np.int64)) for k in keys.tolist()], left[good], right[good], js[good], spanning)
+        return task_result(member, texts, keys, left[good], right[good], js[good], pairs)
 
     return verify
 
 
-def _pairs(docs: DataFrame, n: int, threshold: float, recall: float, depth: int, brute: int, spanning: bool) -> tuple[DataFrame, DataFrame]:
-    """Groups ``(g, ids)`` of documents of one word sequence, and verified pairs ``(x, y, value)`` of documents of
-    different sequences: all of them, or as ``spanning`` only edges that connect what they connect."""
-    docs = id_text(docs).filter("doc_id is not null and text is not null")
-    scanned = save(docs.mapInArrow(_scan(n), "doc_id long, g long, g2 long, sketch binary"), "sketches")
-    groups = save(scanned.groupBy("g", "g2").agg(F.collect_set("doc_id").alias("ids"), F.first("sketch").alias("sketch")), "groups")
+def _found(docs: DataFrame, n: int, threshold: float, recall: float, depth: int | None, brute: int, pairs: bool) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """Records ``(g, doc_id)``, a null g for texts without words; groups ``(g, rep, size)`` of documents of one word sequence; and
+    what their comparison gives, see :func:`tessergraph.llm.buckets.compared`."""
+    docs = id_text(docs).filter("doc_id is not null")
+    scanned = save(docs.mapInArrow(_scan(n), "doc_id long, g long, bytes long, sketch binary"), "sketches")
+    records = save(scanned.select("g", "doc_id").distinct(), "records")
+    sizes = records.filter("g is not null").groupBy("g").agg(F.count("*").alias("size"))
+    # The payload of a word is some 8 bytes of text and as many of a hash.
+    groups = scanned.filter("g is not null").groupBy("g").agg(F.min("doc_id").alias("rep"), F.max(F.col("bytes") * 16).alias("bytes"), F.first("sketch").alias("sketch"))
+    groups = save(groups.join(sizes, "g"), "groups")
+    depth = depth_needed(groups.count()) if depth is None else depth
     leaves = _leaves(groups.select("g", "sketch"), threshold, runs_needed(recall, depth), depth, brute)
-    least = least_equal(threshold)
-    routed = routes(leaves, least)
-    groups, found = groups.select("g", F.array_sort("ids").alias("ids")), None
-    for huge in (False, True):
-        route = routed.filter("huge" if huge else "not huge")
-        count = route.count()
-        if not count:
-            continue
-        rows, place = blocked(leaves, route, count, huge)
-        place = place.join(groups, "g").select("block", "g", "ids", F.col("ids")[0].alias("rep"))
-        needed = place.select("rep").distinct()
-        texts = docs.join(F.broadcast(needed) if count <= BROADCAST_ROWS else needed, docs.doc_id == F.col("rep"), "left_semi")
-        texts = place.join(texts, place.rep == texts.doc_id).select("block", "g", "ids", "text")
-        pairs = rows.groupBy("block").cogroup(texts.groupBy("block")).applyInPandas(_verify(n, threshold, least, spanning), "x long, y long, value double")
-        pairs = pairs.distinct() if huge else pairs
-        found = pairs if found is None else found.unionByName(pairs)
+    alike = alike_nibbles(threshold)
+    routed = routes(leaves, groups, alike)
+    count = routed.count()
+
+    def texts(sets: DataFrame) -> DataFrame:
+        needed = routed.select("rep").distinct()
+        some = docs.join(F.broadcast(needed) if count <= BROADCAST_ROWS else needed, docs.doc_id == F.col("rep"), "left_semi")
+        return sets.join(some, sets.rep == some.doc_id).select("block", "g", "rep", "size", "buckets", "text")
+
+    columns = "x long, y long, value double" if pairs else "g long, root long, rep long, n long"
+    return records, groups.select("g", "rep", "size"), compared(leaves, routed, texts, _verify(n, threshold, alike, pairs), columns)
+
+
+def ngram_jaccard_pairs(docs: DataFrame, n: int = 3, threshold: float = 0.5, recall: float = 0.99, depth: int | None = None, brute: int = 256) -> tuple[DataFrame, DataFrame]:
+    """Pairs ``(doc_a, doc_b, jaccard)`` of class representatives, and the membership ``(doc_id, representative)``.
+
+    A class holds the documents of one word sequence; its representative is the smallest of them. All pairs of classes whose
+    sets of word n-grams have a Jaccard similarity of ``threshold`` or more are returned, each with doc_a < doc_b. An id
+    with several texts is in a class for each. Otherwise as :func:`ngram_jaccard_join`.
+    """
+    records, groups, found = _found(docs, n, threshold, recall, depth, brute, True)
+    members = records.join(groups.select("g", F.col("rep").alias("representative")), "g").select("doc_id", "representative")
     if found is None:
-        found = groups.sparkSession.createDataFrame([], "x long, y long, value double")
-    return groups, found
+        found = docs.sparkSession.createDataFrame([], "x long, y long, value double")
+    return found.select(F.col("x").alias("doc_a"), F.col("y").alias("doc_b"), F.col("value").alias("jaccard")), members
 
 
-def ngram_jaccard_join(docs: DataFrame, n: int = 3, threshold: float = 0.5, recall: float = 0.99, depth: int = 3, brute: int = 256) -> DataFrame:
-    """All pairs of documents whose sets of word n-grams have a Jaccard similarity of ``threshold`` or more.
+def ngram_jaccard_join(docs: DataFrame, n: int = 3, threshold: float = 0.5, recall: float = 0.99, depth: int | None = None, brute: int = 256) -> DataFrame:
+    """``(doc_id, class_id, links)``: one row for each document of the self-join of documents whose sets of word n-grams have a
+    Jaccard similarity of ``threshold`` or more.
 
-    Returns ``(doc_a, doc_b, jaccard)`` with ``doc_a < doc_b``. Words are the lower-cased runs between ASCII white
-    space. Similarities are exact, on 64-bit n-gram hashes; each pair at the threshold is found with probability
-    ``recall`` or more. Documents with equal word sequences are joined once as one set and expanded at the end, so
-    copies cost nothing but their own result rows, of which none is dropped.
+    ``links`` is the number of documents that a document is joined with, ``class_id`` the smallest id that chains of
+    joined documents reach, its own without any. Words are the lower-cased runs between ASCII white space.
+    Similarities are exact, on 64-bit n-gram hashes; each pair at the threshold is found with probability ``recall`` or
+    more. Documents with equal word sequences are joined once as one set and counted at the end, so copies cost nothing,
+    and none is dropped. ``depth`` follows from the number of sets unless given.
 
-    Rows with a null id or text, and texts without a word, are in no pair. A text of fewer than n words has one gram,
-    the whole text. Repeated rows count once; an id with several texts is paired by its most similar one, and never
-    with itself. Other columns are ignored. An empty table gives an empty result.
+    A null id has no row. A null text and one without a word have no link. A text of fewer than n words has one gram, the
+    whole text; texts of any length are read whole. Repeated rows count once; an id with several texts has the links of
+    all of them, those among its own texts included. Other columns are ignored. An empty table gives an empty result.
     """
-    groups, near = _pairs(docs, n, threshold, recall, depth, brute, False)
-    return all_pairs(groups, near, "jaccard")
+    return document_classes(*_found(docs, n, threshold, recall, depth, brute, False))
 
 
-def drop_near_duplicates(docs: DataFrame, n: int = 3, threshold: float = 0.5, recall: float = 0.99, depth: int = 3, brute: int = 256) -> DataFrame:
-    """Keep, of each group of documents that chains of similar pairs connect, the rows with the smallest id.
+def drop_near_duplicates(docs: DataFrame, n: int = 3, threshold: float = 0.5, recall: float = 0.99, depth: int | None = None, brute: int = 256) -> DataFrame:
+    """Keep, of each class of :func:`ngram_jaccard_join`, the rows with the smallest id.
 
-    Tasks yield spanning edges of their pairs, and copies one edge to their representative, so what is shuffled grows
-    with the documents, not with their pairs. Rows with a null id or text and texts without a word are kept as they
-    are; exact repeats of a row are reduced to one. All columns of ``docs`` are returned.
+    Rows with a null id, and ids whose texts are all null or without a word, are kept; exact repeats of a row are reduced to one. Texts of any length are read whole. All columns of ``docs`` are
+    returned, whatever their names. An empty table gives an empty result.
     """
-    groups, near = _pairs(docs, n, threshold, recall, depth, brute, True)
-    star = groups.filter("size(ids) > 1").select(F.col("ids")[0].alias("a"), F.explode("ids").alias("b"))
-    edges = near.select(F.col("x").alias("a"), F.col("y").alias("b")).unionByName(star)
     key = unused(docs, "key")
-    gone = connected_components(edges).filter("node <> component").select(F.col("node").alias(key))
+    found = ngram_jaccard_join(docs, n, threshold, recall, depth, brute)
+    gone = found.filter("doc_id <> class_id").select(F.col("doc_id").alias(key))
     kept = docs.join(gone, docs["doc_id"].cast("long") == F.col(key), "left_anti")
     # Exact repeats share their id; only ids that occur more than once need comparing.
     again = save(id_text(docs).filter("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("doc_id").alias(key)), "again")

@@ -10,7 +10,7 @@ import corpus_pipeline
 from tessergraph.llm import embed_dedup, url_filter
 from tessergraph.llm.bpe import bpe_round_trip
 from tessergraph.llm.common import documents
-from tessergraph.llm.lz_fingerprint import NEAR, lz_similar_pairs
+from tessergraph.llm.lz_fingerprint import NEAR, lz_similar_documents
 from tessergraph.llm.ngram_join import ngram_jaccard_join
 from tessergraph.llm.packing import pack_documents
 from tessergraph.llm.pii import scan_pii
@@ -28,19 +28,25 @@ def _op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _OP1_SQL = r"""
-with w as (
+with recursive w as (
   select doc_id, list_filter(regexp_split_to_array(lower(text), '[ \t\n\f\r\v]+'), lambda x: x <> '') as w
-  from documents where doc_id is not null and text is not null
-), g as (
-  select distinct doc_id, unnest(case
-    when len(w) >= 3 then list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i+2], ' '))
-    when len(w) > 0 then [array_to_string(w, ' ')] else [] end) as g
-  from w
-), s as (select doc_id, count(*) as n from g group by doc_id),
-o as (select a.doc_id as doc_a, b.doc_id as doc_b, count(*) as c from g a join g b on a.g = b.g and a.doc_id < b.doc_id group by 1, 2)
-select doc_a, doc_b, c / (x.n + y.n - c)::double as jaccard
-from o join s x on x.doc_id = doc_a join s y on y.doc_id = doc_b
-where c / (x.n + y.n - c)::double >= 0.5
+  from documents where doc_id is not null
+), r as materialized (
+  select doc_id, row_number() over () as r, array_to_string(w, ' ') as s, w from (select distinct doc_id, w from w where len(w) > 0)
+), g as materialized (
+  select distinct r, unnest(case
+    when len(w) >= 3 then list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i+2], ' ')) else [s] end) as g
+  from r
+), s as (select r, count(*) as n from g group by r),
+o as (select a.r as a, b.r as b, count(*) as c from g a join g b on a.g = b.g and a.r <> b.r group by 1, 2),
+p as materialized (
+  select ra.doc_id as a, rb.doc_id as b from o join s x on x.r = o.a join s y on y.r = o.b join r ra on ra.r = o.a join r rb on rb.r = o.b
+  where c / (x.n + y.n - c)::double >= 0.5
+), walk(id, other) as (
+  select distinct doc_id, doc_id from w union select walk.id, p.b from walk join p on p.a = walk.other
+), c as (select id, min(other) as class_id from walk group by id),
+l as (select a, count(*) as links from p group by a)
+select id as doc_id, class_id, coalesce(links, 0) as links from c left join l on a = id
 """
 
 
@@ -52,7 +58,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_pii": lambda spark, sf_dir: scan_pii(documents(spark, sf_dir)),
         "op5_toxicity": lambda spark, sf_dir: toxicity(documents(spark, sf_dir), _labels(spark, sf_dir)),
         "op6_embedding_near_dedup": lambda spark, sf_dir: embed_dedup.embedding_near_dedup(spark.read.parquet(f"{sf_dir}/embeddings.parquet")),
-        "op7_lz_fingerprint": lambda spark, sf_dir: lz_similar_pairs(documents(spark, sf_dir), NEAR, perms=384),
+        "op7_lz_fingerprint": lambda spark, sf_dir: lz_similar_documents(documents(spark, sf_dir), NEAR, perms=384),
         "op8_packing": lambda spark, sf_dir: pack_documents(documents(spark, sf_dir)),
         "op9_secret_scan": lambda spark, sf_dir: scan_secrets(documents(spark, sf_dir)),
         "op10_token_counts": lambda spark, sf_dir: token_counts(documents(spark, sf_dir)),
