@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections import Counter
 from collections.abc import Iterator
-from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -16,7 +16,6 @@ from tessergraph.llm.common import id_text
 
 #: Chunks whose counts every executor holds, and documents sampled to choose them; see token_counts.
 HEAD, HEAD_SAMPLE = 400_000, 20_000
-_TAIL = "doc_id long, fp int, chunk string, n long"
 
 
 class _Head(dict):
@@ -31,7 +30,23 @@ class _Head(dict):
         return 0
 
 
-_HEADS: dict[int, _Head] = {}
+_HEADS: dict[str, tuple[_Head, dict[str, int]]] = {}
+
+
+def _heads(key: str, shared) -> tuple[_Head, dict[str, int]]:
+    """Counts by chunk without the leading space, and of first chunks, which have none; held by each worker process until
+    another table comes."""
+    if key not in _HEADS:
+        _HEADS.clear()
+        items = list(zip(*shared.value))
+        _HEADS[key] = _Head((c[1:], n) for c, n in items if c[:1] == " "), {c: n for c, n in items if c[:1] != " "}
+    return _HEADS[key]
+
+
+def _keyed(text: str) -> list[str]:
+    """All chunks; a leading space marks all but the first, which has none."""
+    first, *rest = bpe.chunks(text)
+    return [first, *(" " + c for c in rest)]
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -39,7 +54,7 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for text in batch.column("text").to_pylist():
             if text is not None:
-                seen.update(bpe.chunks(text)[1:])
+                seen.update(_keyed(text))
     yield pa.record_batch({"chunk": pa.array(list(seen), pa.string()), "n": pa.array(list(seen.values()), pa.int64())})
 
 
@@ -47,59 +62,59 @@ def _pieces(raw):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = bpe.encoder(raw.value)
         for batch in batches:
-            counts = [len(enc.plain(" " + c)) // 4 for c in batch.column("chunk").to_pylist()]
+            counts = [len(enc.plain(c)) // 4 for c in batch.column("chunk").to_pylist()]
             yield pa.record_batch({"chunk": batch.column("chunk"), "pieces": pa.array(counts, pa.int32())})
 
     return run
 
 
-def _frequencies(head, key: int):
+_KEY = ["doc_id", "h1", "h2"]
+
+
+def _frequencies(shared, key: str):
     """Per row: the tokens of its head chunks, as one row without chunk, and the frequencies of its other chunks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if key not in _HEADS:
-            _HEADS.clear()
-            _HEADS[key] = _Head(head.value)
-        known = _HEADS[key]
+        known, firsts = _heads(key, shared)
         for whole in batches:
             for lo in range(0, whole.num_rows, 1000):
                 batch = whole.slice(lo, 1000)
-                at, fps, keys, ns = [], [], [], []
+                at, keys, ns = [], [], []
                 for i, text in enumerate(batch.column("text").to_pylist()):
                     if text is None:
-                        at.append(i), fps.append(-1), keys.append(None), ns.append(None)
+                        at.append(i), keys.append(None), ns.append(None)
                         continue
-                    fp = crc32(text.encode("utf-8", "surrogatepass")) & 0x7FFFFFFF
                     first, *rest = bpe.chunks(text)
                     known.rest = []
                     total = sum(map(known.__getitem__, rest))
-                    tail = Counter(known.rest)
-                    at += [i] * (len(tail) + 2)
-                    fps += [fp] * (len(tail) + 2)
-                    # A leading space marks all but the first chunk, which has none.
-                    keys += [None, first, *(" " + c for c in tail)]
-                    ns += [total, 1, *tail.values()]
-                yield pa.record_batch(
-                    {"doc_id": batch.column("doc_id").take(pa.array(at, pa.int64())), "fp": pa.array(fps, pa.int32()), "chunk": pa.array(keys, pa.string()), "n": pa.array(ns, pa.int64())}
-                )
+                    tail = [(" " + c, n) for c, n in Counter(known.rest).items()]
+                    if first in firsts:
+                        total += firsts[first]
+                    else:
+                        tail.append((first, 1))
+                    at += [i] * (len(tail) + 1)
+                    keys += [None, *(c for c, _ in tail)]
+                    ns += [total, *(n for _, n in tail)]
+                rows = pa.array(at, pa.int64())
+                yield pa.record_batch({**{c: batch.column(c).take(rows) for c in _KEY}, "chunk": pa.array(keys, pa.string()), "n": pa.array(ns, pa.int64())})
 
     return run
 
 
 def _add_up(raw):
-    """Rows of one chunk are all in one partition: its pieces are counted once, then multiplied with its frequencies."""
+    """Rows of one chunk are next to each other: its pieces are counted once, then multiplied with its frequencies. Rows
+    without chunk pass as they are."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = bpe.encoder(raw.value)
-        counts: dict[str, int] = {}
         for batch in batches:
             keys = batch.column("chunk").dictionary_encode()
-            for k in keys.dictionary.to_pylist():
-                if k is not None and k not in counts:
-                    counts[k] = len(enc.plain(k)) // 4
-            per = np.array([counts[k] for k in keys.dictionary.to_pylist()] + [0], np.int64)
-            n = per[np.asarray(keys.indices)] * np.asarray(batch.column("n"))
-            yield pa.record_batch({"doc_id": batch.column("doc_id"), "fp": batch.column("fp"), "n": pa.array(n, pa.int64())})
+            per = np.array([len(enc.plain(k)) // 4 for k in keys.dictionary.to_pylist()] + [1], np.int64)
+            known = batch.column("chunk").is_valid()
+            at = np.asarray(keys.indices.fill_null(len(per) - 1))
+            n = pa.array(per[at] * np.asarray(batch.column("n").fill_null(0)), pa.int64(), mask=np.asarray(batch.column("n").is_null()))
+            copies = (~np.asarray(known)).astype(np.int64)
+            yield pa.record_batch({**{c: batch.column(c) for c in _KEY}, "n": n, "copies": pa.array(copies)})
 
     return run
 
@@ -110,10 +125,12 @@ def token_counts(docs: DataFrame, vocabulary: str = bpe.VOCABULARY, head: int =
     The pre-tokens are the chunks of :mod:`tessergraph.llm.bpe`. The ``head`` most frequent chunks of about ``sample``
     documents are counted first and broadcast, a bounded table; a text's head chunks are added up in the scan. All its
     other chunks go, as frequencies, to the partition of the chunk, where pieces are counted once for each distinct
-    chunk and joined to them. The choice of the head decides only which way a chunk is counted, never the result.
+    chunk and joined to them. The choice of the head decides only which way a chunk is counted, never the result. Every
+    text is split once.
 
-    Row for row: null ids and repeated rows are kept. A null text has a null count, an empty text 0. Other columns
-    are ignored. An empty table gives an empty result.
+    Row for row: null ids and repeated rows are kept; rows are told apart by their id and 128 bits of hashes of the text. A null
+    text has a null count, an empty text 0. Texts of any length are counted whole. Other columns are ignored. An empty
+    table gives an empty result.
     """
     spark = docs.sparkSession
     raw = spark.sparkContext.broadcast(bpe.read_vocabulary(vocabulary))
@@ -122,11 +139,17 @@ def token_counts(docs: DataFrame, vocabulary: str = bpe.VOCABULARY, head: int =
     some = docs.sample(min(1.0, sample / total), seed=1) if total else docs
     seen = some.mapInArrow(_count_words, "chunk string, n long").groupBy("chunk").agg(F.sum("n").alias("n")).filter("n > 1")
     top = seen.orderBy(F.desc("n"), "chunk").limit(head).select("chunk").mapInArrow(_pieces(raw), "chunk string, pieces int").toPandas()
-    known = spark.sparkContext.broadcast(dict(zip(top["chunk"].tolist(), top["pieces"].tolist())))
-    rows = docs.mapInArrow(_frequencies(known, id(known)), _TAIL)
-    whole = rows.filter("chunk is null").select("doc_id", "fp", "n", F.lit(1).alias("copies"))
-    tail = rows.filter("chunk is not null").repartition("chunk").mapInArrow(_add_up(raw), "doc_id long, fp int, n long")
-    sums = whole.unionByName(tail.withColumn("copies", F.lit(0))).groupBy("doc_id", "fp").agg(F.sum("n").alias("n"), F.sum("copies").alias("copies"))
+    table = top["chunk"].tolist(), top["pieces"].tolist()
+    shared = spark.sparkContext.broadcast(table)
+    key = hashlib.blake2b(repr(table).encode("utf-8", "surrogatepass")).hexdigest()
+    text = F.col("text")
+    keyed = docs.select("doc_id", *[F.when(text.isNotNull(), F.xxhash64(F.lit(seed), text)).alias(h) for h, seed in (("h1", 1), ("h2", 2))], "text")
+    rows = keyed.mapInArrow(_frequencies(shared, key), "doc_id long, h1 long, h2 long, chunk string, n long")
+    # Rows without chunk need no company and stay spread as they were read.
+    rows = rows.withColumn("place", F.when(F.col("chunk").isNotNull(), F.xxhash64("chunk")).otherwise(F.spark_partition_id()))
+    rows = rows.repartition("place").sortWithinPartitions("chunk").drop("place")
+    parts = rows.mapInArrow(_add_up(raw), "doc_id long, h1 long, h2 long, n long, copies long")
+    sums = parts.groupBy(*_KEY).agg(F.sum("n").alias("n"), F.sum("copies").alias("copies"))
     # Rows alike in id and text were added up together.
     each = F.explode(F.array_repeat(F.expr("n div copies"), F.col("copies").cast("int"))).alias("n_tokens")
     return sums.select("doc_id", each)
