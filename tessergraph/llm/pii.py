@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ipaddress
 import re
 from collections.abc import Iterator
 
@@ -13,9 +14,8 @@ from pyspark.sql import functions as F
 
 from tessergraph.llm.common import id_text, unused
 
-KINDS = ("email", "url_login", "ipv4", "phone", "card", "iban", "national_id", "account")
-_LOCAL = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._%+-'")
-_HOST = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789.-")
+KINDS = ("email", "url_login", "ipv4", "ipv6", "phone", "card", "iban", "national_id", "account")
+_LOCAL, _HOST, _HEX = frozenset("._%+-'"), frozenset(".-"), frozenset("0123456789abcdefABCDEF:.")
 _DIGITS = frozenset("0123456789")
 _NUMBER = frozenset("0123456789 .-()+")
 _SCHEME = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+.-")
@@ -35,11 +35,22 @@ _USUAL = re.compile(r"\d+|4,4,4,4(?:,[123])?|4,4,4,[123]|4,6,[45]")
 _PLAIN = re.compile(r"(?<!\d)\d{16}(?!\d)")
 _PHONE = re.compile(r"(?<![\d.\-+])(?:\+1[ .-]?\(?\d{3}\)?[ .-]?\d{3}[ .-]?\d{4}|\+\d{1,3}[ .-]?\(?\d{1,4}\)?(?:[ .-]?\d{2,4}){2,4}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?![\d\-])")
 _NATIONAL = re.compile(r"(?<![\d\-])(?!000|666|9\d\d)\d{3}-(?!00)\d{2}-(?!0000)\d{4}(?![\d\-])")
-_IBAN = re.compile(r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]){11,29}")
+_IBAN = re.compile(r"[A-Za-z]{2}\d{2}(?: ?[A-Za-z0-9]){11,29}")
+#: Words that announce an identifier, by what follows.
+_CUES = {
+    "account": "account acct a/c acc konto kontonummer cuenta compte",
+    "phone": "phone telephone tel call fax mobile cell telefon telefono teléfono téléphone tél handy",
+    "national_id": "ssn passport passeport pasaporte reisepass",
+}
+_BETWEEN = re.compile(r"(?:[ .:#=]|(?:number|num|no|nr|is|me|at|us)\b){0,8}")
+_AFTER = {
+    "account": re.compile(r"\d(?:[ -]?\d){5,19}(?![\d.,]\d|\w)"), "phone": re.compile(r"\+?\(?\d(?:[ .\-()]{0,2}\d){8,14}(?![.,-]?\d|\w)"), "national_id": re.compile(r"(?:\d{9}|[A-Za-z]{0,2}\d{6,8})(?!\w)"),
+}
 
 
 def _automaton() -> ahocorasick.Automaton:
-    """At-signs, schemes and the cues of identifiers: two digits in a row, a digit before a dot, IBAN countries."""
+    """At-signs, schemes and the cues of identifiers: two digits in a row, a digit before a dot, two colons or one before a
+    hexadecimal digit, IBAN countries, and words that announce an identifier."""
     a = ahocorasick.Automaton()
     a.add_word("@", "@")
     a.add_word("://", ":")
@@ -48,7 +59,14 @@ def _automaton() -> ahocorasick.Automaton:
     for i in range(10):
         a.add_word(f"{i}.", "0")
         for country in _IBAN_LENGTH:
-            a.add_word(f"{country}{i}", "I")
+            for x in {country, country.lower(), country.capitalize()}:
+                a.add_word(f"{x}{i}", "I")
+    for c in ":0123456789abcdefABCDEF":
+        a.add_word(f":{c}", "6")
+    for kind, words in _CUES.items():
+        for w in words.split():
+            for x in {w, w.capitalize(), w.upper()}:
+                a.add_word(x, f"{len(x)} {kind}")
     a.make_automaton()
     return a
 
@@ -64,13 +82,18 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def _letter(c: str) -> bool:
+    """A letter, digit or accent of a script that sets spaces between words."""
+    return c.isascii() and c.isalnum() or "\x7f" < c < "\u2e80" and (c.isalnum() or "\u0300" <= c < "\u0370")
+
+
 def _email(text: str, at: int) -> tuple[int, int] | None:
     lo, hi = at, at + 1
-    while lo and text[lo - 1] in _LOCAL:
+    while lo and (text[lo - 1] in _LOCAL or _letter(text[lo - 1])):
         lo -= 1
     while lo < at and text[lo] in ".'-%+":
         lo += 1
-    while hi < len(text) and text[hi] in _HOST:
+    while hi < len(text) and (text[hi] in _HOST or _letter(text[hi])):
         hi += 1
     while hi > at + 1 and text[hi - 1] in ".-":
         hi -= 1
@@ -79,7 +102,36 @@ def _email(text: str, at: int) -> tuple[int, int] | None:
         return None
     if not all(x and len(x) <= 63 and x[0] != "-" and x[-1] != "-" for x in labels):
         return None
-    return (lo, hi) if len(labels[-1]) >= 2 and labels[-1].isalpha() else None
+    top = labels[-1]
+    return (lo, hi) if len(top) >= 2 and (top.isalpha() or top.lower().startswith("xn--")) else None
+
+
+def _ipv6(text: str, at: int) -> tuple[int, int] | None:
+    """An address of three groups or more with a digit around the colon ``at``."""
+    lo = hi = at
+    while lo and text[lo - 1] in _HEX:
+        lo -= 1
+    while hi < len(text) and text[hi] in _HEX:
+        hi += 1
+    while hi > at and (text[hi - 1] == "." or text[hi - 1] == ":" and text[hi - 2] != ":"):
+        hi -= 1
+    found = text[lo:hi]
+    if not 6 <= hi - lo <= 45 or not _bounded(text, lo, hi) or sum(map(bool, found.split(":"))) < 3 or not any(c in _DIGITS for c in found):
+        return None
+    try:
+        ipaddress.IPv6Address(found)
+    except ValueError:
+        return None
+    return lo, hi
+
+
+def _announced(text: str, end: int, kind: str, size: int) -> tuple[int, int] | None:
+    """What follows the cue that ends before ``end``."""
+    if end < len(text) and text[end].isalpha() or end - size and text[end - size - 1].isalnum():
+        return None
+    start = _BETWEEN.match(text, end).end()
+    m = _AFTER[kind].match(text, start) if start > end else None
+    return m.span() if m else None
 
 
 def _login(text: str, at: int) -> tuple[int, int] | None:
@@ -97,11 +149,13 @@ def _iban(text: str, at: int) -> tuple[int, int] | None:
     m = _IBAN.match(text, at)
     if not m or (at and text[at - 1].isalnum()):
         return None
-    need, hi, got = _IBAN_LENGTH[text[at : at + 2]], at, 0
+    need, hi, got = _IBAN_LENGTH[text[at : at + 2].upper()], at, 0
     while hi < m.end() and got < need:
         got += text[hi] != " "
         hi += 1
     code = text[at:hi].replace(" ", "")
+    if code != code.upper() and code != code.lower():
+        return None
     if got < need or (hi < len(text) and text[hi].isalnum()):
         return None
     return (at, hi) if int("".join(str(int(c, 36)) for c in code[4:] + code[:4])) % 97 == 1 else None
@@ -165,6 +219,13 @@ def find_pii(text: str) -> list[tuple[int, int, str]]:
         elif what == "I":
             if span := _iban(text, end - 2):
                 found.append((*span, "iban"))
+        elif what == "6":
+            if span := _ipv6(text, end):
+                found.append((*span, "ipv6"))
+        elif what != "0":
+            size, _, kind = what.partition(" ")
+            if span := _announced(text, end + 1, kind, int(size)):
+                found.append((*span, kind))
         elif end > done:
             lo = hi = end
             while lo and text[lo - 1] in _NUMBER:
@@ -219,12 +280,13 @@ def scan_pii(docs: DataFrame) -> DataFrame:
     """``(doc_id, text, spans)``: every text with its personal data masked, and what was found where.
 
     ``spans`` holds ``start`` and ``end`` in characters of the original text and a ``kind`` of KINDS; each is masked as
-    ``[KIND]``. Found are e-mail addresses, user names in URLs, IPv4 addresses, phone numbers, payment cards (Luhn),
-    other 16-digit account numbers, IBANs (mod 97) and national ids. Anchors are searched in one pass of an
-    Aho-Corasick automaton, so texts without anchors cost no more than that; there is no shuffle.
+    ``[KIND]``. Found are e-mail addresses, also with letters beyond ASCII of scripts that set spaces, user names in URLs,
+    IPv4 and IPv6 addresses, phone numbers, payment cards (Luhn), other 16-digit account numbers, IBANs (mod 97) in either
+    case, national ids, and numbers that a word such as "account", "call" or "ssn" announces. Anchors are searched in one
+    pass of an Aho-Corasick automaton, so texts without anchors cost no more than that; there is no shuffle.
 
     Row for row: null ids and repeated rows are kept. A null text stays null with null ``spans``; an empty text has no
-    spans. Texts of any length are read whole. Other columns are ignored.
+    spans. Texts of any length are read whole. Other columns are ignored. An empty table gives an empty result.
     """
     return id_text(docs).mapInArrow(_scan, "doc_id long, text string, spans array<struct<start:int,end:int,kind:string>>")
 
