@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 from collections.abc import Iterable
 from dataclasses import dataclass
@@ -153,13 +154,13 @@ class Graph:
         return n.crossJoin(e).crossJoin(h).select("nodes", "edges", "hyperedges", "communities", "god_nodes")
 
     def fingerprint(self) -> str:
-        """A hash of everything that scores and costs depend on, order apart."""
-        n = self.nodes.select(F.xxhash64("id", "label", "type", "description", "importance", "source_file", "community", "is_god").alias("x"))
-        e = self.edges.select(F.xxhash64("src", "dst", F.format_number(F.col("weight") * F.col("confidence_score"), 6)).alias("x"))
-        h = self.hyperedges.select(F.xxhash64("id", F.array_sort("nodes"), "confidence_score").alias("x"))
+        """A hash of everything that scores and costs depend on, order apart. Hashing a struct keeps its fields apart and tells
+        nulls from empty strings."""
+        some = lambda *c: F.xxhash64(F.to_json(F.struct(*c), {"ignoreNullFields": "false"})).alias("x")
+        n = self.nodes.select(some("id", "label", "type", "description", "importance", "community", "is_god", source_path().alias("path")))
+        e = self.edges.select(some("src", "dst", F.format_number(F.col("weight"), 9).alias("w"), F.format_number(F.col("confidence_score"), 9).alias("c")))
+        h = self.hyperedges.select(some("id", F.array_sort("nodes").alias("nodes"), "confidence_score"))
         parts = [df.agg(F.count("*"), F.sum(F.col("x").cast("decimal(38,0)")), F.bit_xor("x")).first() for df in (n, e, h)]
-        import hashlib
-
         return hashlib.sha256(repr([tuple(p) for p in parts]).encode()).hexdigest()
 
     def to_dict(self) -> dict[str, Any]:

@@ -6,6 +6,7 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -35,6 +36,20 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return back
 
 
+def put_text(spark: SparkSession, path: str, text: str) -> str:
+    """Write one file, local or, if the path has a scheme, on any file system that Spark knows."""
+    full = path if "://" in path else f"file://{Path(path).absolute()}"
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(full)
+    out = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(target, True)
+    try:
+        data = text.encode("utf-8", "surrogatepass")
+        for at in range(0, len(data), 1 << 24):
+            out.write(bytearray(data[at : at + (1 << 24)]))
+    finally:
+        out.close()
+    return path
+
+
 def discard(df: DataFrame) -> None:
     """Delete what :func:`materialise` wrote for ``df``; nothing lazy may read it any more."""
     path = getattr(df, "_written_to", None)

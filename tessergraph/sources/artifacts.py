@@ -9,11 +9,12 @@ from tessergraph.operators.lexical import BM25Index
 from tessergraph.operators.scoring import Artifacts
 from tessergraph.operators.selection import token_costs
 
-VERSION = 1
+VERSION = 2
 
 
-def artifacts_path(graph: Graph, folder: str) -> str:
-    return f"{folder}/{graph.fingerprint()}-v{VERSION}"
+def artifacts_path(graph: Graph, folder: str, max_iter: int = 100) -> str:
+    """By what the artifacts depend on: the graph, and how far ranks are iterated."""
+    return f"{folder}/{graph.fingerprint()}-{max_iter}-v{VERSION}"
 
 
 def save_artifacts(artifacts: Artifacts, path: str) -> None:
@@ -35,7 +36,7 @@ def read_artifacts(spark: SparkSession, path: str) -> Artifacts | None:
 def load_or_build(graph: Graph, folder: str | None = None, max_iter: int = 100) -> Artifacts:
     """From ``folder`` if the same graph was seen before, else built and, where possible, stored there. A changed
     graph has another fingerprint, so nothing stale is ever read."""
-    path = artifacts_path(graph, folder) if folder else None
+    path = artifacts_path(graph, folder, max_iter) if folder else None
     found = read_artifacts(graph.spark, path) if path else None
     if found is not None:
         return found

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import csv
+import io
 import json
 import xml.etree.ElementTree as ET
 from pathlib import Path
 from typing import Any
 
 from tessergraph.graph import Graph, GraphError
+from tessergraph.session import put_text
 
 
 def save_tables(graph: Graph, path: str) -> None:
@@ -17,11 +19,14 @@ def save_tables(graph: Graph, path: str) -> None:
         getattr(graph, name).write.mode("overwrite").parquet(f"{path}/{name}")
 
 
-def write_json(graph: Graph, path: str | Path) -> Path:
-    out = Path(path)
-    out.parent.mkdir(parents=True, exist_ok=True)
-    out.write_text(graph.to_json(), encoding="utf-8")
-    return out
+def write_json(graph: Graph, path: str | Path) -> str:
+    return put_text(graph.spark, str(path), graph.to_json())
+
+
+def _renamed(path: str | Path, ending: str) -> str:
+    """The path with another ending; it may have a scheme."""
+    folder, slash, name = str(path).rpartition("/")
+    return folder + slash + (name.rpartition(".")[0] or name) + ending
 
 
 def _scalar(value: Any) -> tuple[str, str]:
@@ -35,7 +40,7 @@ def _scalar(value: Any) -> tuple[str, str]:
     return "string", "" if value is None else value if isinstance(value, str) else json.dumps(value, default=str)
 
 
-def write_graphml(graph: Graph, path: str | Path) -> Path:
+def write_graphml(graph: Graph, path: str | Path) -> str:
     """One GraphML file with all attributes of nodes and edges; the format has no hyperedges."""
     data, keys = graph.to_dict(), {}
     root = ET.Element("graphml", xmlns="http://graphml.graphdrawing.org/xmlns")
@@ -54,32 +59,27 @@ def write_graphml(graph: Graph, path: str | Path) -> Path:
     for (kind, name, typ), key in keys.items():
         ET.SubElement(root, "key", {"id": key, "for": kind, "attr.name": name, "attr.type": typ})
     root.append(body)
-    out = Path(path).with_suffix(".graphml")
-    out.parent.mkdir(parents=True, exist_ok=True)
-    ET.ElementTree(root).write(out, encoding="utf-8", xml_declaration=True)
-    return out
+    return put_text(graph.spark, _renamed(path, ".graphml"), ET.tostring(root, encoding="unicode", xml_declaration=True))
 
 
-def write_neo4j(graph: Graph, path: str | Path) -> list[Path]:
+def write_neo4j(graph: Graph, path: str | Path) -> list[str]:
     """``*_nodes.csv`` and ``*_relationships.csv`` for bulk import; sources, extras and hyperedges have no columns there."""
-    base = Path(path).with_suffix("")
-    base.parent.mkdir(parents=True, exist_ok=True)
     tables = {
         "nodes": (graph.nodes, {":ID": "id", "name": "label", ":LABEL": "type", "file_type": "file_type", "description": "description", "importance": "importance", "community": "community", "is_god": "is_god"}),
         "relationships": (graph.edges, {":START_ID": "src", ":END_ID": "dst", ":TYPE": "relation", "weight": "weight", "confidence_score": "confidence_score"}),
     }
     paths = []
     for name, (df, columns) in tables.items():
-        paths.append(base.parent / f"{base.name}_{name}.csv")
-        with paths[-1].open("w", encoding="utf-8", newline="") as out:
-            rows = csv.writer(out)
-            rows.writerow(columns)
-            for r in df.orderBy("ord").select(*columns.values()).toLocalIterator():
-                rows.writerow(["" if v is None else v for v in r])
+        out = io.StringIO(newline="")
+        rows = csv.writer(out)
+        rows.writerow(columns)
+        for r in df.orderBy("ord").select(*columns.values()).toLocalIterator():
+            rows.writerow(["" if v is None else v for v in r])
+        paths.append(put_text(graph.spark, _renamed(path, f"_{name}.csv"), out.getvalue()))
     return paths
 
 
-def convert_graph(graph: Graph, path: str | Path, format: str) -> list[Path]:
+def convert_graph(graph: Graph, path: str | Path, format: str) -> list[str]:
     """Write in a format of another tool, ``graphml`` or ``neo4j``; returns the files."""
     if format == "graphml":
         return [write_graphml(graph, path)]
