@@ -23,7 +23,7 @@ from tessergraph.operators.scoring import score_nodes
 from tessergraph.operators.selection import Selection, select_subgraph
 from tessergraph.plans import render
 from tessergraph.server import VERSION, serve
-from tessergraph.sources.audit import log_query, read_audit, top_nodes
+from tessergraph.sources.audit import last_records, log_query, read_audit, top_nodes
 from tessergraph.sources.project import index_project, index_project_incremental
 from tessergraph.sources.readers import find_graph, load_graph
 from tessergraph.sources.writers import convert_graph, write_json
@@ -125,7 +125,7 @@ def _query(spark: SparkSession, a: argparse.Namespace) -> None:
     if not answer.selection.stats["nodes_selected"] and a.format == "markdown":
         print(f"No node scores {a.min_score} or more; try other words or a lower --min-score.", file=sys.stderr)
     if not a.no_audit:
-        best = answer.selection.chosen.join(answer.scores, "id").orderBy(F.desc("score"), "id").limit(10)
+        best = answer.selection.chosen.join(answer.scores, "id").join(graph.nodes.select("id", "ord"), "id").orderBy(F.desc("score"), "ord").limit(10)
         log_query(a.query, path, answer.selection.stats, [r["id"] for r in best.collect()], home / SIDECAR)
     if a.explain and a.format == "markdown":
         print(render.explain_scores(answer.selection.graph, answer.detailed.join(answer.selection.chosen.select("id"), "id", "left_semi"), answer.selection.stats["nodes_selected"], a.backend != "bm25"))
@@ -154,8 +154,8 @@ def _diff(spark: SparkSession, a: argparse.Namespace) -> None:
 
 def _audit(spark: SparkSession, a: argparse.Namespace) -> None:
     found = find_graph()
-    log = read_audit(spark, a.audit_dir or (Path(found).parent / SIDECAR if found else SIDECAR))
-    last = log.orderBy(F.desc("timestamp")).limit(20).collect()[::-1]
+    folder = a.audit_dir or (Path(found).parent / SIDECAR if found else SIDECAR)
+    log, last = read_audit(spark, folder), last_records(spark, folder)
     if not last:
         print("No audit entries found.")
         return
@@ -214,7 +214,7 @@ def _on_graph(spark: SparkSession, a: argparse.Namespace, path: str, graph: Grap
         case "stats":
             print(engine.stats())
         case "explain":
-            print(engine.explain(a.node))
+            print(engine.summary(a.node))
         case "path":
             print(engine.path(a.source, a.target))
         case "export":

@@ -71,6 +71,21 @@ class Engine:
             out += lines or ["- (none)"]
         return "\n".join(out) + "\n"
 
+    def summary(self, node: str) -> str:
+        """The same in short, as the command line shows it, neighbours in the order of the edges; KeyError if there is no such node."""
+        row = self.graph.nodes.filter(F.col("id") == node).first()
+        if row is None:
+            raise KeyError(node)
+        out = [f"# {row['label']}  ({row['type'] or row['file_type'] or 'node'})"]
+        out += [row["description"]] if row["description"] else []
+        out += [f"→ {row['source_file']} {row['source_location'] or ''}".rstrip()] if row["source_file"] else []
+        found = neighbours(self.graph, node).orderBy("ord").collect()
+        for title, way in (("Used by", "in"), ("Depends on", "out")):
+            near = [r for r in found if r["direction"] == way]
+            out += [f"\n## {title}"] if near else []
+            out += [(f"- {r['label']} → {r['relation']}" if way == "in" else f"- {r['relation']} → {r['label']}").strip() for r in near]
+        return "\n".join(out) + "\n"
+
     def path(self, source: str, target: str) -> str:
         """A shortest path as text; KeyError for unknown ids."""
         found = shortest_path(self.graph, source, target)

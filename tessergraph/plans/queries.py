@@ -207,13 +207,19 @@ def _global(spark, d):
     return global_pagerank(graph_view(spark, d).stored(), max_iter=STEPS, tol=0).select("id", F.round("score", 10).alias("score"))
 
 
-_NATIONS = "select nodes.id, case when type = 'nation' then 1.0 / (select count(*) from nation) else 0 end as p from nodes"
+#: Weights without short decimals, so that no rank lies on the edge of a rounding.
+_NATIONS = "select nodes.id, case when type = 'nation' then 1.0::double / (split_part(id, ':', 2)::int + 3) / (select sum(1.0::double / (n_nationkey + 3)) from nation) else 0 end as p from nodes"
+
+
+def _nations(g: Graph) -> DataFrame:
+    return g.nodes.filter("type = 'nation'").select("id", (F.lit(1.0) / (F.split("id", ":")[1].cast("int") + 3)).alias("score"))
+
 
 
 @query("pagerank_personalized", f"with {GRAPH}, {_rank_sql(_NATIONS)} select id, round(r / (select sum(r) from r{STEPS}), 9) as score from r{STEPS}")
 def _personal(spark, d):
     g = graph_view(spark, d).stored()
-    return personalized_pagerank(g, g.nodes.filter("type = 'nation'").select("id", F.lit(1.0).alias("score")), max_iter=STEPS, tol=0).select("id", F.round("score", 9).alias("score"))
+    return personalized_pagerank(g, _nations(g), max_iter=STEPS, tol=0).select("id", F.round("score", 9).alias("score"))
 
 
 _PRIOR = "select id, case when is_god then 1.0 else importance / (select max(importance) from nodes) end as score from nodes"
@@ -231,7 +237,7 @@ def _prior(spark, d):
 )
 def _fuse(spark, d):
     g = graph_view(spark, d).stored()
-    ppr = personalized_pagerank(g, g.nodes.filter("type = 'nation'").select("id", F.lit(1.0).alias("score")), max_iter=STEPS, tol=0)
+    ppr = personalized_pagerank(g, _nations(g), max_iter=STEPS, tol=0)
     degree = _degrees(spark, d).select("id", F.col("degree").cast("double").alias("score"))
     return fusion.fuse(ppr, fusion.importance_prior(g), global_pr=degree).select("id", F.round("score", 8).alias("score"))
 

@@ -8,6 +8,7 @@ from typing import Any, TextIO
 
 from tessergraph.engine import Engine
 from tessergraph.plans.render import format_subgraph
+from tessergraph.session import scratch
 
 VERSION, PROTOCOL = "0.1.0", "2024-11-05"
 PARSE, REQUEST, METHOD, PARAMS, INTERNAL = -32700, -32600, -32601, -32602, -32603
@@ -81,7 +82,8 @@ def _answer(engine: Engine, method: str, params: dict[str, Any]) -> dict[str, An
         raise Refusal(PARAMS, "tools/call requires a string 'name'")
     if not isinstance(args, dict):
         raise Refusal(PARAMS, "'arguments' must be an object")
-    return dict(content=[dict(type="text", text=call_tool(engine, name, args))])
+    with scratch():
+        return dict(content=[dict(type="text", text=call_tool(engine, name, args))])
 
 
 def respond(engine: Engine, line: str) -> dict[str, Any] | None:

@@ -6,6 +6,8 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -50,6 +52,17 @@ def put_text(spark: SparkSession, path: str, text: str) -> str:
     return path
 
 
+@contextmanager
+def scratch() -> Iterator[None]:
+    """Discards what is materialised inside it; for work whose result is plain values."""
+    before = set(_WRITTEN)
+    try:
+        yield
+    finally:
+        for path in set(_WRITTEN) - before:
+            _remove(_WRITTEN.pop(path), path)
+
+
 def discard(df: DataFrame) -> None:
     """Delete what :func:`materialise` wrote for ``df``; nothing lazy may read it any more."""
     path = getattr(df, "_written_to", None)

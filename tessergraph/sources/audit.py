@@ -7,7 +7,7 @@ from datetime import UTC, datetime
 from pathlib import Path
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 FOLDER, FILE, TOP = ".tessergraph", "audit.jsonl", 10
@@ -26,11 +26,11 @@ def log_query(query: str, graph: str, stats: dict[str, Any], top_nodes: list[str
         return
 
 
-def parse_audit(lines: DataFrame) -> DataFrame:
+def parse_audit(lines: DataFrame, *keep: str) -> DataFrame:
     """The records in ``lines(value)``; blank lines, broken JSON and anything but an object are skipped. The order of
     the lines in a file is not part of the result; ``timestamp`` is."""
-    kept = lines.select(F.trim("value").alias("v")).filter(F.col("v").startswith("{") & F.expr("try_parse_json(v)").isNotNull())
-    return kept.select(F.from_json("v", SCHEMA).alias("r")).select("r.*")
+    kept = lines.select(F.trim("value").alias("v"), *keep).filter(F.col("v").startswith("{") & F.expr("try_parse_json(v)").isNotNull())
+    return kept.select(F.from_json("v", SCHEMA).alias("r"), *keep).select("r.*", *keep)
 
 
 def read_audit(spark: SparkSession, folder: str | Path = FOLDER) -> DataFrame:
@@ -41,6 +41,15 @@ def read_audit(spark: SparkSession, folder: str | Path = FOLDER) -> DataFrame:
     return parse_audit(spark.read.text(f"file://{path.absolute()}"))
 
 
+def last_records(spark: SparkSession, folder: str | Path = FOLDER, n: int = 20) -> list[Row]:
+    """The last n records in the order of the file."""
+    path = Path(folder) / FILE
+    if not path.exists():
+        return []
+    lines = spark.read.text(f"file://{path.absolute()}").select("value", F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"))
+    return parse_audit(lines, "block", "line").orderBy(F.desc("block"), F.desc("line")).limit(n).drop("block", "line").collect()[::-1]
+
+
 def top_nodes(records: DataFrame, n: int = 10) -> DataFrame:
     """``(id, count)``: the n nodes that occur most often among ``top_nodes``; ties go to the smaller id."""
     return records.select(F.explode("top_nodes").alias("id")).filter("id is not null").groupBy("id").agg(F.count("*").alias("count")).orderBy(F.desc("count"), "id").limit(n)

@@ -91,7 +91,8 @@ def code_blocks(graph: Graph, root: str | Path, max_lines: int = MAX_LINES) -> D
 
 
 def inject_code(graph: Graph, root: str | Path, max_nodes: int = MAX_NODES) -> Graph:
-    """The graph with a ``code_block`` extra on each node that has one; unchanged if it has more than ``max_nodes``."""
+    """The graph with a ``code_block`` extra on each node that has one. A graph of more than ``max_nodes`` stays unchanged, and
+    blocks end after MAX_LINES lines: a rendering is for a reader, and both limits belong to the feature."""
     if graph.nodes.count() > max_nodes:
         return graph
     blocks = code_blocks(graph, root)

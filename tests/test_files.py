@@ -109,6 +109,13 @@ def test_parsers():
     assert ids(parse_typescript(TS, "c.ts", "m"))[1:] == [("m_mod", "import"), ("m_side", "import"), ("m_client", "class"), ("m_shape", "interface"), ("m_go", "function"), ("m_arrow", "function")]
     assert ids(parse_go(GO, "d.go", "m"))[1:] == [("m_fmt", "import"), ("m_net_http", "import"), ("m_os", "import"), ("m_db", "class"), ("m_reader", "interface"), ("m_open", "function"), ("m_save", "function"), ("m_map", "function")]
     assert ("m_db_save", "function") in ids(parse_go(GO, "d.go", "m", True))
+    classes = "export class Box<T> {\n  private n = 1;\n  public async put(x: T): Promise<void> {\n    if (x) {\n      call();\n    }\n  }\n  get size(): number { return 1; }\n}\nfunction after() {}\n"
+    nodes, edges = parse_typescript(classes, "c.ts", "m", methods=True)
+    assert [(n["id"], n["type"]) for n in nodes][1:] == [("m_box", "class"), ("m_put", "function"), ("m_size", "function"), ("m_after", "function")]
+    assert [(e["source"], e["target"]) for e in edges] == [("m", "m_box"), ("m_box", "m_put"), ("m_box", "m_size"), ("m", "m_after")]
+    odd = "import { a,\nimport('x')\nconst f = x => 1\nlet g = (a) => a\nvar h: Fn = async () => 1\nexport default function* gen() {}\nconst n = (1 + 2)\nimport type { T } from \"t\"\n"
+    assert ids(parse_typescript(odd, "c.ts", "m"))[1:] == [("m_g", "function"), ("m_h", "function"), ("m_gen", "function"), ("m_t", "import")]
+    assert ids(parse_go('import . "dot"\nimport _ "blank"\nfunc (s Set[T]) Add(x T) {\ntype X int\nfunc (\n', "d.go", "m", True))[1:] == [("m_dot", "import"), ("m_blank", "import"), ("m_set_add", "function")]
     assert [module_id("a/b/Util.py"), module_id("top.py", "root"), module_id("top.py"), module_id("a/b/u.py", strict=True)] == ["b_util", "root_top", "top", "a_b_u"]
 
 
@@ -196,7 +203,7 @@ def test_rendering(spark, shop):
 def test_engine_and_server(spark, shop, tmp_path):
     folder = f"file://{tmp_path}"
     engine = Engine(shop, folder, max_iter=5)
-    assert (tmp_path / artifacts_path(shop, "x").removeprefix("x/")).exists()
+    assert (tmp_path / artifacts_path(shop, "x", 5).removeprefix("x/")).exists()
     ask = lambda method, mid=1, **params: respond(engine, json.dumps(dict(jsonrpc="2.0", id=mid, method=method, params=params)))
     tool = lambda name, **args: ask("tools/call", name=f"tessergraph_{name}", arguments=args)
     text = lambda r: r["result"]["content"][0]["text"]

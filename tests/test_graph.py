@@ -1,3 +1,4 @@
+import json
 import math
 import random
 
@@ -7,7 +8,7 @@ from pyspark.sql import functions as F
 from tessergraph.functions.stemmer import stem
 from tessergraph.functions.text import bpe_tokens, estimated_tokens, similarity, tokenize, tokens, word_set
 from tessergraph.graph import Graph
-from tessergraph.operators import fusion
+from tessergraph.operators import fusion, selection
 from tessergraph.operators.diff import affected_subgraph, diff_graphs
 from tessergraph.operators.evaluation import run_benchmark, summarise
 from tessergraph.operators.ignore import Ignore, apply_ignore
@@ -17,6 +18,7 @@ from tessergraph.operators.scoring import score_nodes, score_nodes_detailed
 from tessergraph.operators.selection import first_fit, greedy, knapsack, select_subgraph, token_costs
 from tessergraph.operators.semantic import DenseRetriever, EmbeddingRetriever, Retriever
 from tessergraph.operators.traverse import k_hop, neighbours, shortest_path
+from tessergraph.sources.artifacts import artifacts_path
 
 
 def nodes(*ids, **more):
@@ -155,6 +157,9 @@ def test_fusion(spark):
     assert min(rrf, key=rrf.get) == "c" and rrf["a"] == pytest.approx(1 / 61 + 1 / 62)
     assert values(max_normalised(table(dict(a=2.0, b=1.0)))) == dict(a=1.0, b=0.5)
     assert values(max_normalised(table(dict(a=0.0)))) == dict(a=0.0)
+    rows = [(r, f"n{i:03}", float(i * 7 % 10)) for r in (0, 1) for i in range(300)] + [(2, "x", 1.0)]
+    got = {(r["ranking"], r["id"]): r["rank"] for r in fusion.ranked(spark.createDataFrame(rows, "ranking int, id string, score double")).collect()}
+    assert got == {(r, i): k for q in (0, 1, 2) for k, (r, i, _) in enumerate(sorted((x for x in rows if x[0] == q), key=lambda x: (-x[2], x[1])), 1)}
     prior = fusion.importance_prior(Graph.from_records(spark, [dict(id="a", importance=2.0), dict(id="b", importance=5.0), dict(id="g", importance=0.1, is_god=True)]))
     assert values(prior) == dict(a=0.4, b=1.0, g=1.0)
 
@@ -240,6 +245,18 @@ def test_knapsack_and_first_fit():
     assert first_fit([6, 5, 1], [3, 3, 1], 4) == [0, 2]
 
 
+def test_knapsack_in_halves_is_exact(monkeypatch):
+    rng = random.Random(3)
+    for _ in range(20):
+        n, budget = rng.randint(2, 40), rng.randint(5, 60)
+        value, cost = [rng.random() for _ in range(n)], [rng.randint(1, 12) for _ in range(n)]
+        whole = knapsack(value, cost, budget)
+        with monkeypatch.context() as m:
+            m.setattr(selection, "DP_CELLS", 50)
+            parts = knapsack(value, cost, budget)
+        assert sum(value[i] for i in parts) == pytest.approx(sum(value[i] for i in whole)) and sum(cost[i] for i in parts) <= budget
+
+
 def test_best_single_item_survives():
     assert greedy(["p", "q"], [0.6, 1.0], [5, 50], [[], []], [None, None], [[], []], 52) == [1]
 
@@ -317,3 +334,9 @@ def test_fingerprint(spark, auth):
     assert auth.fingerprint() == again.fingerprint()
     other = Graph.from_records(spark, [{**AUTH[0], "description": "changed"}, *AUTH[1:]], AUTH_LINKS)
     assert auth.fingerprint() != other.fingerprint()
+    # Whatever changes a cost or a rank changes the key of what is kept.
+    path = lambda p: Graph.from_records(spark, [{**AUTH[0], "extra": {"file_path": json.dumps(p)}}, *AUTH[1:]], AUTH_LINKS)
+    short, long = path("a.py"), path("a/much/longer/path/to/the/file.py")
+    assert values(token_costs(short), "cost") != values(token_costs(long), "cost") and short.fingerprint() != long.fingerprint()
+    keys = {artifacts_path(auth, "x", 1), artifacts_path(auth, "x", 100), artifacts_path(short, "x", 100)}
+    assert len(keys) == 3
