@@ -6,8 +6,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-#: Lists of at most so many entries are broadcast (some 30 MB); longer ones are joined by a shuffle.
-BROADCAST_ENTRIES = 200_000
+from tessergraph.llm.common import attach
+
+#: Lists of at most so many intervals in all are broadcast (some 30 MB); longer ones are joined by a shuffle.
+BROADCAST_INTERVALS = 200_000
 
 
 def url_host(url: Column) -> Column:
@@ -58,16 +60,21 @@ def temporal_url_filter(captures: DataFrame, changes: DataFrame) -> DataFrame:
 
     All intervals of an entry travel as one array, so a capture joins at most one row for each of its keys, however
     often the entry changed; the interval is picked inside that array. Null ids and repeated rows are kept, row for row.
-    A null or malformed URL and a null fetch time have the verdict ``none``. Other columns are ignored. Empty tables
-    are allowed on either side.
+    A null or malformed URL and a null fetch time have the verdict ``none``. URLs of any length are judged whole. Other
+    columns are ignored. Empty tables are allowed on either side.
     """
     c = captures.select("page_id", "url", "fetched_at", url_host(F.col("url")).alias("host"), url_keys(F.col("url")).alias("keys"))
     spans = F.collect_list(F.struct("since", "until", "verdict", "list_name")).alias("spans")
     entries = validity_intervals(changes).groupBy("entry").agg(spans)
-    small = entries.limit(BROADCAST_ENTRIES + 1).count() <= BROADCAST_ENTRIES
-    entries = F.broadcast(entries) if small else entries
+    size = entries.agg(F.sum(F.size("spans")).alias("n")).first()["n"] or 0
     wide = c.withColumn("key", F.explode_outer("keys")).withColumn("n", F.greatest(F.size("keys"), F.lit(1))).drop("keys")
-    hit = wide.join(entries, wide.key == entries.entry, "left")
+    if size <= BROADCAST_INTERVALS:
+        hit = wide.join(F.broadcast(entries), wide.key == entries.entry, "left")
+    else:
+        # Top domains are keys of a large share of the captures; rows without key need no join.
+        keyed = wide.filter("key is not null")
+        keyed = attach(keyed, entries.select(F.col("entry").alias("key"), "spans"), "key", keyed.count(), "left")
+        hit = keyed.unionByName(wide.filter("key is null"), allowMissingColumns=True).withColumn("entry", F.when(F.col("spans").isNotNull(), F.col("key")))
     active = F.filter("spans", lambda s: (s["since"] <= F.col("fetched_at")) & (s["until"].isNull() | (F.col("fetched_at") < s["until"])))
     # array_min of (verdict is allow, list name, ...) is the winner among the lists that hold this entry.
     ranked = F.transform(active, lambda s: F.struct((s["verdict"] == "allow").cast("int").alias("allow"), s["list_name"].alias("list_name"), s["since"].alias("since")))
