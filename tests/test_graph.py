@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tessergraph.functions.stemmer import stem
 from tessergraph.functions.text import bpe_tokens, estimated_tokens, similarity, tokenize, tokens, word_set
 from tessergraph.graph import Graph
-from tessergraph.operators import fusion, selection
+from tessergraph.operators import fusion, pagerank, selection
 from tessergraph.operators.diff import affected_subgraph, diff_graphs
 from tessergraph.operators.evaluation import run_benchmark, summarise
 from tessergraph.operators.ignore import Ignore, apply_ignore
@@ -131,7 +131,9 @@ def plain_rank(ids, weights, restart, alpha=0.85, rounds=100, tol=1e-6):
     return r
 
 
-def test_pagerank_equals_plain_version(spark):
+@pytest.mark.parametrize("local", [0, 5_000_000])
+def test_pagerank_equals_plain_version(spark, monkeypatch, local):
+    monkeypatch.setattr(pagerank, "LOCAL_LINKS", local)
     rng = random.Random(5)
     ids = [f"n{i}" for i in range(12)]
     pairs = {(rng.choice(ids), rng.choice(ids[:9])): rng.randint(1, 5) / 2 for _ in range(25)}
