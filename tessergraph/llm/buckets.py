@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessergraph.llm.common import attach, save
+from tessergraph.llm.common import HOT, attach, save
 from tessergraph.llm.components import connected_components
 
 SKETCH = 64
@@ -25,6 +25,10 @@ NIBBLES = ["n0", "n1", "n2", "n3"]
 MEMBER = "bucket long, g long, n0 long, n1 long, n2 long, n3 long"
 #: A cell, the unit of comparison, has about so many sets, and payloads of about so many bytes.
 CELL, CELL_BYTES = 2_000, 16 << 20
+#: Larger buckets are cut into cells of about so many sets, where their sketches only are compared.
+FULL = 4_000
+#: So many handles of sets are broadcast at most (about 16 MB) to find their payloads; beyond it the join shuffles both sides.
+BROADCAST_ROWS = 1_000_000
 #: Components that would be cut into more blocks than this are compared bucket by bucket instead.
 BLOCKS = 20
 U = np.uint64
@@ -105,6 +109,19 @@ def cells(rows: DataFrame, limit: int) -> DataFrame:
     return small.unionByName(cut.select(F.xxhash64("bucket", "_lo", "_hi").alias("bucket"), "g", *NIBBLES, "side"))
 
 
+def leaves_of(member: DataFrame, sketches: DataFrame, keys: list[str], limit: int) -> DataFrame:
+    """:func:`cells` of the buckets of ``member(bucket, *keys)`` that have several rows, with the sketches ``(*keys, n0..n3)``. Only
+    the handles of the other buckets' rows are shuffled. Full buckets get their counts by broadcast."""
+    counts = save(member.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1"), "counts")
+    hot = counts.filter(F.col("n") > HOT)  # at most one for every HOT rows
+    if hot.isEmpty():
+        rows = member.join(counts, "bucket")
+    else:
+        cold = member.join(F.broadcast(hot.select("bucket")), "bucket", "left_anti").join(counts, "bucket")
+        rows = cold.unionByName(member.join(F.broadcast(hot), "bucket"))
+    return save(cells(rows.join(sketches, keys).select("bucket", "g", *NIBBLES, "n"), limit), "leaves")
+
+
 def _paired(rows: DataFrame, blocks) -> DataFrame:
     """Each row once for every pair of blocks ``(_lo, _hi)`` that has its own, with the ``side`` it is on there."""
     rows = rows.withColumn("_own", F.pmod(F.xxhash64("g", F.lit(77)), blocks).cast("int")).withColumn("_other", F.explode(F.sequence(F.lit(0), blocks - 1)))
@@ -154,17 +171,23 @@ def routes(leaves: DataFrame, groups: DataFrame, alike: Alike) -> DataFrame:
     return save(attach(parts, sizes, "component", parts.count()).withColumn("huge", F.col("blocks") > BLOCKS), "routes")
 
 
+def payloads(sets: DataFrame, table: DataFrame, routed: DataFrame) -> DataFrame:
+    """``sets`` with the columns of ``table`` for their ``g``."""
+    few = routed.count() <= BROADCAST_ROWS
+    return sets.join(table.join(F.broadcast(routed.select("g")), "g", "left_semi") if few else table, "g")
+
+
 def _tasks(cost) -> int:
     return max(1, math.ceil(max(cost["m"] / CELL, cost["b"] / CELL_BYTES)))
 
 
-def compared(leaves: DataFrame, routed: DataFrame, payload, compare, columns: str = "g long, root long, rep long, n long") -> DataFrame | None:
-    """The union of ``compare`` over all tasks, each with the bucket rows of some cells and the payloads of their sets.
+def compared(leaves: DataFrame, sketches: DataFrame, keys: list[str], routed: DataFrame, payload, compare, columns: str = "g long, root long, rep long, n long") -> DataFrame | None:
+    """The union of ``compare`` over all tasks, each with the sketches of some cells and the payloads of their sets.
 
     ``payload(sets)`` gives ``(block, g, rep, size, buckets, ...)`` for ``sets(block, g, rep, size, buckets)``. A component stays whole
-    as a cell or is cut into blocks, each two of which make one; tasks take cells of about CELL sets and CELL_BYTES in all.
-    Huge components are spread by bucket instead; there ``buckets`` lists all buckets of the set, by which a pair that meets
-    in several tasks is counted in one of them only.
+    as a cell or is cut into blocks, each two of which make one, and all sketches ``(*keys, n0..n3)`` of a cell are compared;
+    tasks take cells of about CELL sets and CELL_BYTES in all. Huge components are compared bucket by bucket instead; there
+    ``buckets`` lists all buckets of the set, by which a pair that meets in several tasks is counted in one of them only.
     """
     found = None
     for huge in (False, True):
@@ -183,7 +206,7 @@ def compared(leaves: DataFrame, routed: DataFrame, payload, compare, columns: st
         else:
             place = _paired(route, F.col("blocks")).withColumn("cell", F.xxhash64("component", "_lo", "_hi"))
             place = place.select("g", "rep", "size", F.pmod("cell", F.lit(_tasks(cost))).cast("int").alias("block"), "cell", "side")
-            rows = leaves.drop("side").join(place, "g").withColumn("bucket", F.xxhash64("bucket", "cell"))
+            rows = payloads(place.select("g", "block", "cell", "side"), sketches, routed).withColumn("bucket", F.xxhash64("cell", *keys[1:]))
             sets = place.select("block", "g", "rep", "size", F.lit(None).cast("array<long>").alias("buckets"))
         rows = rows.select("block", "bucket", "g", *NIBBLES, "side")
         # Both tables are cogrouped, so the second must not carry the first one's attributes.

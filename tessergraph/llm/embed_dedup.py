@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessergraph.llm.buckets import CELL, MEMBER, NIBBLES, Alike, cells, compared, document_classes, routes, task_pairs, task_result
+from tessergraph.llm.buckets import FULL, NIBBLES, Alike, compared, document_classes, leaves_of, payloads, routes, task_pairs, task_result
 from tessergraph.llm.common import attach, save
 
 #: Signs in the sketch by which members of a bucket are told apart before exact verification.
@@ -46,17 +46,29 @@ def _unit(vectors: np.ndarray) -> np.ndarray:
 
 def _buckets(dim: int, tables: int, bits: int, seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rng = np.random.default_rng(seed)
-        planes, sketching = rng.normal(size=(dim, tables * bits)), rng.normal(size=(dim, SIGNS))
+        planes = np.random.default_rng(seed).normal(size=(dim, tables * bits))
         place = 1 << np.arange(bits, dtype=np.int64)
         for whole in batches:
             for lo in range(0, whole.num_rows, 2048):
                 batch = whole.slice(lo, 2048)
                 x = _unit(np.asarray(batch.column("v").flatten()).reshape(-1, dim))
-                sketch = np.packbits(x @ sketching > 0, axis=1).view(np.int64)
                 code = (x @ planes > 0).reshape(len(x), tables, bits).astype(np.int64) @ place
                 for t in range(tables):
-                    yield pa.record_batch({"bucket": code[:, t] | t << 48, "g": batch.column("g"), **{c: np.ascontiguousarray(sketch[:, i]) for i, c in enumerate(NIBBLES)}})
+                    yield pa.record_batch({"bucket": code[:, t] | t << 48, "g": batch.column("g")})
+
+    return run
+
+
+def _sketches(dim: int, seed: int):
+    """SIGNS further signs of each vector."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        planes = np.random.default_rng(seed + 1).normal(size=(dim, SIGNS))
+        for whole in batches:
+            for lo in range(0, whole.num_rows, 2048):
+                batch = whole.slice(lo, 2048)
+                signs = np.packbits(_unit(np.asarray(batch.column("v").flatten()).reshape(-1, dim)) @ planes > 0, axis=1).view(np.int64)
+                yield pa.record_batch({"g": batch.column("g"), **{c: np.ascontiguousarray(signs[:, i]) for i, c in enumerate(NIBBLES)}})
 
     return run
 
@@ -95,11 +107,12 @@ def _found(vectors: DataFrame, threshold: float, bits: int | None, recall: float
     first = rows.filter("g is not null").groupBy("g").agg(F.first("v").alias("v")) if count < records.count() else rows.filter("g is not null").select("g", "v")
     first = save(first, "vectors")
     bits = bits_needed(count) if bits is None else bits
-    member = first.mapInArrow(_buckets(dim["n"], tables_needed(threshold, bits, recall), bits, seed), MEMBER)
-    sizes = member.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
-    leaves, alike = save(cells(member.join(sizes, "bucket"), CELL), "leaves"), alike_signs(threshold)
+    member = first.mapInArrow(_buckets(dim["n"], tables_needed(threshold, bits, recall), bits, seed), "bucket long, g long")
+    sketches = first.mapInArrow(_sketches(dim["n"], seed), "g long, n0 long, n1 long, n2 long, n3 long")
+    leaves, alike = leaves_of(member, sketches, ["g"], FULL), alike_signs(threshold)
+    routed = routes(leaves, groups, alike)
     columns = "x long, y long, value double" if pairs else "g long, root long, rep long, n long"
-    found = compared(leaves, routes(leaves, groups, alike), lambda sets: sets.join(first, "g"), _compare(threshold, dim["n"], alike, pairs), columns)
+    found = compared(leaves, sketches, ["g"], routed, lambda sets: payloads(sets, first, routed), _compare(threshold, dim["n"], alike, pairs), columns)
     return records, groups.select("g", "rep", "size"), found
 
 

@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 U = np.uint64
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
-_P, _B1, _B2 = (int(x) for x in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F))
+_P, _B1 = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
@@ -77,10 +77,9 @@ def words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return mix(h + (ends - starts).astype(U)), np.searchsorted(starts, offsets)
 
 
-def sequence_ids(h: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two 64-bit hashes of each text's word sequence."""
-    n = (bounds[1:] - bounds[:-1]).astype(U)
-    return tuple(mix(_segments(mix(h ^ U(s)), bounds[:-1], bounds[1:], b) + n) for s, b in ((1, _B1), (2, _B2)))
+def sequence_ids(h: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each text's word sequence."""
+    return mix(_segments(mix(h ^ U(1)), bounds[:-1], bounds[1:], _B1) + (bounds[1:] - bounds[:-1]).astype(U))
 
 
 def ngrams(h: np.ndarray, bounds: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -111,10 +110,3 @@ def minhash(values: np.ndarray, bounds: np.ndarray, perms: int, salt: int = 7) -
         for k in range(perms):
             out[filled, k] = np.minimum.reduceat((x ^ flip[k]) * factor[k], at)
     return out
-
-
-def bits(signature: np.ndarray) -> np.ndarray:
-    """One bit of each 32-bit MinHash, packed into int64 words."""
-    x = signature.astype(U)
-    one = (mix(x + U(0x51ED)) & U(1)).astype(np.uint8)
-    return np.packbits(one, axis=1).view(np.int64)

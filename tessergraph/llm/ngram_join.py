@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessergraph.llm import hashing as H
-from tessergraph.llm.buckets import CELL, MEMBER, NIBBLES, SKETCH, alike_nibbles, cells, compared, document_classes, nibbles, routes, task_pairs, task_result
+from tessergraph.llm.buckets import FULL, MEMBER, NIBBLES, SKETCH, alike_nibbles, cells, compared, document_classes, nibbles, routes, task_pairs, task_result
 from tessergraph.llm.common import id_text, save, unused
 
 #: So many ids of documents to verify are broadcast at most (about 30 MB); beyond it the join shuffles both sides.
@@ -54,7 +54,7 @@ def _scan(n: int):
         for batch in batches:
             for start, texts in H.slices(batch.column("text")):
                 h, bounds = H.words(texts)
-                g = H.sequence_ids(h, bounds)[0].view(np.int64)
+                g = H.sequence_ids(h, bounds).view(np.int64)
                 sig = H.minhash(*H.ngrams(h, bounds, n), SKETCH)
                 none = bounds[1:] == bounds[:-1]
                 yield pa.record_batch(
@@ -74,12 +74,10 @@ def _split(rate: float, runs: int | None):
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         limit = U(min(0xFFFFFFFF, int(rate * 2**32)))
-        position = H.seeds(SKETCH, 3)
         for whole in batches:
             for lo in range(0, whole.num_rows, 4096):
                 batch = whole.slice(lo, 4096)
-                tokens = np.frombuffer(b"".join(batch.column("sketch").to_pylist()), np.uint32).reshape(-1, SKETCH)
-                mixed = H.mix(tokens.astype(U) ^ position[None, :])
+                mixed = _mixed(batch)
                 packed = nibbles(mixed)
                 g = np.asarray(batch.column("g"))
                 if runs is None:
@@ -95,6 +93,21 @@ def _split(rate: float, runs: int | None):
     return split
 
 
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The sketches that members of a bucket are told apart by."""
+    for whole in batches:
+        for lo in range(0, whole.num_rows, 4096):
+            batch = whole.slice(lo, 4096)
+            packed = nibbles(_mixed(batch))
+            yield pa.record_batch({"g": batch.column("g"), **{c: np.ascontiguousarray(packed[:, k]) for k, c in enumerate(NIBBLES)}})
+
+
+def _mixed(batch: pa.RecordBatch) -> np.ndarray:
+    """The tokens of each sketch, told apart by their place."""
+    tokens = np.frombuffer(b"".join(batch.column("sketch").to_pylist()), np.uint32).reshape(-1, SKETCH)
+    return H.mix(tokens.astype(U) ^ H.seeds(SKETCH, 3)[None, :])
+
+
 def _leaves(sketches: DataFrame, threshold: float, runs: int, depth: int, brute: int) -> DataFrame:
     """``MEMBER`` and ``side``: the sets to compare in each final bucket. Buckets still too large at the depth limit are cut into
     cells, so that each two of their sets meet in one cell."""
@@ -105,7 +118,7 @@ def _leaves(sketches: DataFrame, threshold: float, runs: int, depth: int, brute:
         counts = member.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
         member = member.join(counts, "bucket")
         if level == depth:
-            here = cells(member, CELL)
+            here = cells(member, FULL)
             return save(here if out is None else out.unionByName(here), "leaves")
         member = save(member, "members")
         here = member.filter(F.col("n") <= brute).drop("n").withColumn("side", F.lit(0).cast("byte"))
@@ -124,7 +137,7 @@ def _verify(n: int, threshold: float, alike, pairs: bool):
         for _, part in H.slices(pa.array(texts["text"], pa.string())):
             h, bounds = H.words(part)
             grams, at = H.ngrams(h, bounds, n)
-            for i, key in enumerate(H.sequence_ids(h, bounds)[0].view(np.int64).tolist()):
+            for i, key in enumerate(H.sequence_ids(h, bounds).view(np.int64).tolist()):
                 if key not in sets:
                     sets[key] = np.unique(grams[at[i] : at[i + 1]])
         keys, left, right = task_pairs(member, alike)
@@ -164,7 +177,7 @@ def _found(docs: DataFrame, n: int, threshold: float, recall: float, depth: int
         return sets.join(some, sets.rep == some.doc_id).select("block", "g", "rep", "size", "buckets", "text")
 
     columns = "x long, y long, value double" if pairs else "g long, root long, rep long, n long"
-    return records, groups.select("g", "rep", "size"), compared(leaves, routed, texts, _verify(n, threshold, alike, pairs), columns)
+    return records, groups.select("g", "rep", "size"), compared(leaves, groups.select("g", "sketch").mapInArrow(_packed, "g long, n0 long, n1 long, n2 long, n3 long"), ["g"], routed, texts, _verify(n, threshold, alike, pairs), columns)
 
 
 def ngram_jaccard_pairs(docs: DataFrame, n: int = 3, threshold: float = 0.5, recall: float = 0.99, depth: int | None = None, brute: int = 256) -> tuple[DataFrame, DataFrame]:
