@@ -206,8 +206,9 @@ def _replaced(layer: Layer, codes: re.Pattern, decode, name: str, mark: str) ->
         if at > m.start() or len(out) != m.end() - m.start():
             text = "".join(out)
             yield Layer(text, lo, hi, (*layer.path, name))
-            if text.isascii() is False and max(map(ord, text)) < 256 and _PACKED.search(raw := text.encode("latin-1")):
-                yield from (x for x in _from_bytes(raw, lo, hi, (*layer.path, name)) if len(x.path) > len(layer.path) + 1)
+            # Codes of bytes may spell UTF-16 or packed data.
+            if max(map(ord, text)) < 256 and ("\0" in text or _PACKED.search(text.encode("latin-1"))):
+                yield from _from_bytes(text.encode("latin-1"), lo, hi, (*layer.path, name))
 
 
 def _escape(m: re.Match) -> str:
