@@ -76,8 +76,13 @@ class Model:
 
 
 def _sums(values: np.ndarray, index: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
-    """Row i is the sum of values[index[j]] over all j with at[j] = i; column by column, to keep memory low."""
-    return np.stack([np.bincount(at, weights=np.ascontiguousarray(values[:, k])[index], minlength=size) for k in range(values.shape[1])], axis=1)
+    """Row i is the sum of values[index[j]] over all j with at[j] = i; by columns and parts, to keep memory low."""
+    out = np.zeros((size, values.shape[1]))
+    for k in range(values.shape[1]):
+        column = np.ascontiguousarray(values[:, k])
+        for lo in range(0, len(at), 1 << 21):
+            out[:, k] += np.bincount(at[lo : lo + (1 << 21)], column[index[lo : lo + (1 << 21)]], size)
+    return out
 
 
 def train(texts: list[str], toxic: list[int], epochs: int = EPOCHS, seed: int = 0) -> Model:
@@ -126,9 +131,8 @@ def _fit(texts: list[str], y: np.ndarray, epochs: int, seed: int) -> Model:
         per.append(len(found))
     del number, parts
     per = np.array(per)
-    used, sub = np.unique(np.frombuffer(flat, np.int32), return_inverse=True)
-    sub = sub.astype(np.int32)
-    ends, seen = np.cumsum(per), np.zeros((2, len(used)))
+    sub = np.frombuffer(flat, np.int32)
+    ends, seen = np.cumsum(per), np.zeros((2, BUCKETS))
     for start, end, toxic in zip(bounds, bounds[1:], label):
         ids = np.unique(word[start:end])
         at = np.repeat(ends[ids] - np.cumsum(per[ids]), per[ids]) + np.arange(per[ids].sum())
@@ -138,8 +142,9 @@ def _fit(texts: list[str], y: np.ndarray, epochs: int, seed: int) -> Model:
     of = np.array([(label == 0).sum(), (label == 1).sum()])[:, None]
     ratio, noise = np.diff(np.log((seen + 1) / (of + 2)), axis=0)[0, learnt], np.sqrt((1 / (seen + 1)).sum(axis=0))[learnt]
     ratio = np.sign(ratio) * np.maximum(0, np.abs(ratio) - CHANCE * noise)
+    del seen
     # Buckets that are not learnt stay at zero.
-    place = np.full(len(used), -1, np.int32)
+    place = np.full(BUCKETS, -1, np.int32)
     place[learnt] = np.arange(len(learnt))
     owner, sub = np.repeat(np.arange(len(per), dtype=np.int32), per), place[sub]
     owner, sub = owner[sub >= 0], sub[sub >= 0]
@@ -171,7 +176,7 @@ def _fit(texts: list[str], y: np.ndarray, epochs: int, seed: int) -> Model:
             b += 0.001 * (g * g - b)
             p -= RATE * (a / (1 - 0.9**step)) / (np.sqrt(b / (1 - 0.999**step)) + 1e-9)
     odds = emb @ (out[:, 1] - out[:, 0])
-    return Model(dict(zip(used[learnt].tolist(), odds.tolist())), float(bias[1] - bias[0]), 0.0)
+    return Model(dict(zip(learnt.tolist(), odds.tolist())), float(bias[1] - bias[0]), 0.0)
 
 
 def _windows(values: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
