@@ -11,16 +11,21 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
+import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessergraph.llm.common import id_text
+from tessergraph.llm.hashing import slices
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Pre-tokens of byte-level BPE: contractions, letters, digits, other marks, white space.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _ADJACENT = re.compile(r"\s\s")
+#: At least what _ADJACENT finds, for RE2.
+_MAY_ADJOIN = r"[\s\x{0b}\x{1c}-\x{1f}\x{85}\p{Z}]{2}"
 _BOUNDARY = re.compile(r"(?<=\S) (?=\S)")
 
 
@@ -31,7 +36,9 @@ def parse_ranks(raw: bytes) -> dict[bytes, int]:
 
 class Cache(dict):
     """A mapping that computes what it lacks and holds at most twice ``limit`` entries: when full, everything not used
-    since the last time it was full goes."""
+    since the last time it was full goes. Keys longer than LONGEST are computed each time, so its bytes are bounded too."""
+
+    LONGEST = 200
 
     def __init__(self, compute, limit: int):
         super().__init__()
@@ -41,6 +48,8 @@ class Cache(dict):
         value = self._old.pop(key, None)
         if value is None:
             value = self._compute(key)
+            if len(key) > self.LONGEST:
+                return value
         if len(self) >= self._limit:
             self._old = dict(self)
             self.clear()
@@ -143,7 +152,6 @@ class Encoder:
         self.split = regex.compile(PATTERN).findall
         self.pieces = Cache(lambda p: array("i", self.queue.merge(p.encode("utf-8", "surrogatepass"))).tobytes(), limit)
         self.chunks = Cache(self._chunk, limit)
-
     def _chunk(self, chunk: str) -> bytes:
         if chunk.isascii() and chunk.isalpha():
             return self.pieces[" " + chunk]
@@ -163,15 +171,46 @@ def chunks(text: str) -> list[str]:
     return _BOUNDARY.split(text) if _ADJACENT.search(text) else text.split(" ")
 
 
-_HERE: dict[tuple, Encoder] = {}
-
+class Counter:
+    """Counts the ids that :class:`Encoder` gives, without them; a library's merging, compiled and by the same ranks, is enough
+    for that."""
 
-def encoder(raw: bytes) -> Encoder:
-    """One encoder per worker process and vocabulary."""
-    key = (len(raw), hash(raw))
+    def __init__(self, ranks: dict[bytes, int], limit: int = 400_000):
+        encode = tiktoken.Encoding("plain", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        self.plain = lambda text: len(encode(text))
+        self.sizes = Cache(lambda c: len(encode(" " + c)), limit)
+
+    def counts(self, texts: pa.Array) -> np.ndarray:
+        """The number of ids of each text, 0 for null. Chunks are cut and made distinct as Arrow arrays, and each distinct one
+        is looked up once."""
+        texts = pc.fill_null(texts, "")
+        other = np.asarray(pc.match_substring_regex(texts, _MAY_ADJOIN))
+        out = np.zeros(len(texts), np.int64)
+        for i in np.flatnonzero(other).tolist():
+            first, *rest = chunks(texts[i].as_py())
+            out[i] = self.plain(first) + sum(map(self.sizes.__getitem__, rest))
+        plain = np.flatnonzero(~other)
+        if len(plain):
+            parts = pc.split_pattern(texts.take(pa.array(plain)), " ")
+            offsets, found = np.asarray(parts.offsets), parts.values.dictionary_encode()
+            each = np.array([self.sizes[c] for c in found.dictionary.to_pylist()], np.int64)[np.asarray(found.indices)]
+            total = np.concatenate([[0], np.cumsum(each)])
+            # The first chunk has no leading space.
+            firsts = found.indices.take(pa.array(offsets[:-1]))
+            own = np.array([self.plain(c) for c in found.dictionary.take(firsts).to_pylist()], np.int64)
+            out[plain] = total[offsets[1:]] - total[offsets[:-1] + 1] + own
+        return out
+
+
+_HERE: dict[tuple, Encoder | Counter] = {}
+
+
+def encoder(raw: bytes, make: type = Encoder):
+    """One encoder, or counter, per worker process and vocabulary."""
+    key = (make, len(raw), hash(raw))
     if key not in _HERE:
         _HERE.clear()
-        _HERE[key] = Encoder(parse_ranks(raw))
+        _HERE[key] = make(parse_ranks(raw))
     return _HERE[key]
 
 
@@ -184,7 +223,7 @@ def bpe_encode(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
 
     ``vocabulary`` is a file of base64 tokens and ranks on the driver; executors get its content by broadcast. Null
     ids and repeated rows are kept, row for row. A null text has null ``ids`` and ``n_tokens``, an empty text an empty
-    list. Texts of any length are encoded whole. Other columns are ignored.
+    list. Texts of any length are encoded whole. Other columns are ignored. An empty table gives an empty result.
     """
     raw = docs.sparkSession.sparkContext.broadcast(read_vocabulary(vocabulary))
 
@@ -205,6 +244,21 @@ def bpe_encode(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     return id_text(docs).mapInArrow(run, "doc_id long, n_tokens long, ids array<int>")
 
 
+def count_tokens(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
+    """``(doc_id, n_tokens)`` as of :func:`bpe_encode`, without ids and without a shuffle: each worker process counts on its own and
+    remembers frequent chunks."""
+    raw = docs.sparkSession.sparkContext.broadcast(read_vocabulary(vocabulary))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc = encoder(raw.value, Counter)
+        for batch in batches:
+            for start, texts in slices(batch.column("text"), 4 << 20):
+                counts = pa.array(enc.counts(texts), pa.int64(), mask=np.asarray(texts.is_null()))
+                yield pa.record_batch({"doc_id": batch.column("doc_id").slice(start, len(texts)), "n_tokens": counts})
+
+    return id_text(docs).mapInArrow(run, "doc_id long, n_tokens long")
+
+
 def bpe_decode(encoded: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     """``(doc_id, text)`` from ``(doc_id, ids)``: the inverse of :func:`bpe_encode`, row for row.
 

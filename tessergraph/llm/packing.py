@@ -10,18 +10,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessergraph.llm.bpe import VOCABULARY, count_tokens
 from tessergraph.llm.common import save
 
 #: A shard holds about so many windows' worth of tokens and is packed in one task.
 SHARD_WINDOWS = 64
 
 
-def word_count(text: Column) -> Column:
-    """Runs between white space: the length of a document where no token counts are at hand."""
-    trimmed = F.regexp_replace(text, r"^[ \t\n\x0B\f\r]+|[ \t\n\x0B\f\r]+$", "")
-    return F.when(trimmed == "", 0).otherwise(F.size(F.split(trimmed, r"[ \t\n\x0B\f\r]+"))).cast("long")
-
-
 def kk_partition(sizes: list[int], k: int) -> list[list[int]]:
     """Karmarkar-Karp: k lists of item indices with nearly equal sums.
 
@@ -76,21 +71,25 @@ def _pack_shard(capacity: int):
     return run
 
 
-def pack_documents(docs: DataFrame, capacity: int = 2048, length: Column | None = None) -> DataFrame:
+def pack_documents(docs: DataFrame, capacity: int = 2048, length: Column | None = None, vocabulary: str = VOCABULARY) -> DataFrame:
     """Pack whole documents into windows of at most ``capacity`` tokens.
 
     Returns one row for each window: ``shard`` and ``window``, which together identify it; ``doc_ids``,
-    ``first_tokens`` and ``lengths``, the pieces in it; and ``n_tokens``, their sum. ``length`` counts a row's tokens,
-    by default its words; a null or negative length counts as 0. A document longer than a window is cut: its full
+    ``first_tokens`` and ``lengths``, the pieces in it; and ``n_tokens``, their sum. Tokens are those of byte-level BPE with the
+    ``vocabulary``, unless ``length`` counts a row's tokens; a null or negative length counts as 0. A document longer than a window is cut: its full
     windows stand alone, with shard -1 and numbered by a hash, and the rest is packed like a document. Each shard,
     rows alike in a hash of their id and place, holds about SHARD_WINDOWS windows' worth of tokens, so tasks do not
     grow with the table, and its windows are nearly equally full.
 
-    Rows with a null id or no token are in no window. Repeated rows are packed each for itself. Other columns are
-    ignored. An empty table gives an empty result.
+    Rows with a null id or no token are in no window. Repeated rows are packed each for itself; of equal lengths the
+    smaller id goes first. Texts of any length are packed whole. Other columns are ignored. An empty table gives an empty
+    result.
     """
-    n = F.coalesce(length if length is not None else word_count(F.col("text")), F.lit(0)).cast("long")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), n.alias("n")).filter("doc_id is not null and n > 0")
+    if length is None:
+        counted = count_tokens(docs.filter("doc_id is not null"), vocabulary).select("doc_id", F.col("n_tokens").alias("n"))
+    else:
+        counted = docs.select(F.col("doc_id").cast("long").alias("doc_id"), length.cast("long").alias("n"))
+    rows = counted.filter("doc_id is not null and n > 0")
     # Equal rows differ in their number among equals only.
     rows = rows.groupBy("doc_id", "n").agg(F.count("*").alias("c")).select("doc_id", "n", F.explode(F.sequence(F.lit(1), F.col("c").cast("int"))).alias("row"))
     rows = save(rows, "lengths")

@@ -3,11 +3,14 @@
 from collections import Counter
 
 import pytest
+import tiktoken
 
 import corpus_pipeline as p
+from tessergraph.llm.bpe import PATTERN, VOCABULARY, parse_ranks, read_vocabulary
 from tessergraph.llm.pii import find_pii, mask
-from tessergraph.llm.toxicity import fit_toxicity, score
+from tessergraph.llm.toxicity import fit_toxicity
 from test_joins import brute_jaccard
+from test_texts import plain_score, slow_pii
 
 
 def by_id(df):
@@ -23,7 +26,7 @@ def test_each_stage_equals_its_plain_version(spark, sf):
     model = fit_toxicity(docs, spark.read.parquet(f"{sf}/labels.parquet"))
     kept = p.toxicity(spark, docs, sf)
     assert kept.columns == docs.columns
-    want = Counter(tuple(r) for r in docs.collect() if r["text"] is None or score(model.word, model.bias, r["text"]) <= model.threshold)
+    want = Counter(tuple(r) for r in docs.collect() if r["text"] is None or plain_score(model, r["text"]) <= model.threshold)
     assert by_id(kept) == want
 
     once = p.near_duplicates(spark, kept, sf)
@@ -45,6 +48,8 @@ def test_each_stage_equals_its_plain_version(spark, sf):
     got = {r["doc_id"]: (r["text"], r["n_chars"]) for r in masked.collect()}
     for r in once.collect():
         spans = find_pii(r["text"])
+        found = {x[:2] for x in spans}
+        assert all(any(lo <= x[0] and x[1] <= hi for lo, hi in found) for x in slow_pii(r["text"]))
         assert got[r["doc_id"]] == ((mask(r["text"], spans), len(mask(r["text"], spans))) if spans else (r["text"], r["n_chars"]))
 
     words = Counter()
@@ -52,7 +57,8 @@ def test_each_stage_equals_its_plain_version(spark, sf):
         assert sum(w["lengths"]) == w["n_tokens"] <= 2048
         for i, n in zip(w["doc_ids"], w["lengths"]):
             words[i] += n
-    assert words == Counter({i: len(t.split()) for i, (t, _) in got.items() if t.split()})
+    plain = tiktoken.Encoding("plain", pat_str=PATTERN, mergeable_ranks=parse_ranks(read_vocabulary(VOCABULARY)), special_tokens={})
+    assert words == Counter({i: len(plain.encode_ordinary(t)) for i, (t, _) in got.items() if t})
 
 
 @pytest.mark.parametrize("name", [n for n, _ in p.STAGES])
