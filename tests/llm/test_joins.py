@@ -264,3 +264,29 @@ def test_lz_similarity_does_not_follow_the_number_of_documents(spark):
     many = {tuple(r) for r in lz_similar_pairs(spark.createDataFrame(rows + other, "doc_id long, text string"), 0.6, 0.9999)[0].collect() if r["doc_b"] < 1000}
     value = {(a, b): s for a, b, s in some}
     assert some and all(value.get((a, b), s) == s for a, b, s in many) and len({x[:2] for x in many} & set(value)) >= 0.9 * len(some)
+
+
+def test_lz_keeps_no_signatures_of_texts_without_a_likely_pair(spark, tmp_path, monkeypatch):
+    """Of long texts without near copies, less is written for each than its signature of 2 * perms bytes."""
+    rng = random.Random(12)
+    rows = [(i, "".join(rng.choices("abcdefghijklmnopqrstuvwxyz ", k=1500))) for i in range(600)]
+    rows += [(600 + i, t[:700] + "x" + t[700:]) for i, t in rows[:5]]
+    monkeypatch.setattr(common, "shared_dir", lambda _: f"file://{tmp_path}")
+    got = classes(lz_similar_documents(spark.createDataFrame(rows, "doc_id long, text string"), NEAR, perms=384))
+    assert got == {i: (i - 600, 1) if i >= 600 else (i, int(i < 5)) for i, _ in rows}
+    assert sum(p.stat().st_size for p in tmp_path.rglob("prints-*/*.parquet")) < 768 * len(rows) / 2
+
+
+@pytest.mark.parametrize("words", [1 << 20, 1])
+def test_sifted_rows_lack_no_handle(spark, monkeypatch, words):
+    monkeypatch.setattr(buckets, "BITMAP_WORDS", words)
+    rows, handles = spark.range(-2_000, 2_000).select(F.col("id").alias("k"), F.lit("x").alias("v")), spark.range(-100, 100).select((F.col("id") * 20).alias("handle"))
+    got = buckets.sifted(rows, "k", handles, 200)
+    kept = {r["k"] for r in got.collect()}
+    assert got.columns == ["k", "v"] and got.count() == len(kept) and kept >= set(range(-2_000, 2_000, 20))
+    assert len(kept) < (700 if words > 1 else 4_001)
+    assert buckets.sifted(rows, "k", handles.limit(0), 0).count() == 0
+
+
+def test_parse_may_end_early():
+    assert phrase_lengths("abababa", 2) == [1, 1] and phrase_lengths("abababa", 9) == [1, 1, 2, 3]
