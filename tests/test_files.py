@@ -241,3 +241,29 @@ def test_command_line(spark, tmp_path, monkeypatch, capsys):
     assert run(spark, ["diff", "graph.json", "new.json"]) == 0 and "-2 removed" in capsys.readouterr().out
     file(tmp_path, "src/a.py", "def f(): pass\n")
     assert run(spark, ["index", "src", "-o", "out/graph.json"]) == 0 and "Indexed 1 files: 2 nodes, 1 edges" in capsys.readouterr().out
+
+
+def test_documents_are_written_and_read_by_tasks(spark, tmp_path, monkeypatch):
+    odd = 'a "b" <c> & d\n\te\r,f  \\ é'
+    nodes = [dict(id=f"n{i}", label=odd if i % 3 == 0 else "", description=odd, importance=i / 7, community=None if i % 2 else i, is_god=i == 5, source_file=None if i % 4 else "x.py", extra=dict(k='{"is_god": true}', s='"x\\n<"', f="1.5", b="true", i="3", n="null") if i % 5 == 0 else {}) for i in range(40)]
+    edges = [dict(source=f"n{i}", target=f"n{i * 7 % 40}", relation=odd, weight=0.1 * i, confidence_score=0.5, extra=dict(more='{"confidence_score": 1}') if i == 3 else {}) for i in range(40)]
+    g = Graph.from_records(spark, nodes, edges, [dict(id="h", nodes=["n1", "n2", "n3"], confidence_score=0.25)])
+    want = g.to_dict()
+    # Neither may gather the graph on the driver or parse it in one task.
+    monkeypatch.setattr(Graph, "to_dict", lambda self: pytest.fail("gathered"))
+    monkeypatch.setattr("tessergraph.sources.readers.parse_json", lambda text: pytest.fail("parsed whole"))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8k")
+    try:
+        path = write_json(g, tmp_path / "lines.json")
+        assert json.loads((tmp_path / "lines.json").read_text()) == want | {"layout": "one record a line"}
+        (xml,) = convert_graph(g, tmp_path / "lines", "graphml")
+        back, from_xml = load_graph(spark, path), load_graph(spark, xml)
+        csv = load_graph(spark, convert_graph(g, tmp_path / "lines", "neo4j")[0])
+        monkeypatch.undo()
+        assert back.to_dict() == want
+        plain = lambda d: [{k: v for k, v in x.items() if k not in ("source_file", "source_location", "source_url", "n")} for x in d]
+        assert plain(from_xml.to_dict()["nodes"]) == [x | ({"k": '{"is_god": true}'} if "k" in x else {}) for x in plain(want["nodes"])]
+        assert [(x["source"], x["target"], x["relation"], x["weight"]) for x in from_xml.to_dict()["links"]] == [(x["source"], x["target"], x["relation"], x["weight"]) for x in want["links"]]
+        assert {r["id"]: (r["label"], r["community"]) for r in csv.nodes.collect()} == {x["id"]: (x["label"], x["community"]) for x in want["nodes"]}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
