@@ -342,3 +342,30 @@ def test_fingerprint(spark, auth):
     assert values(token_costs(short), "cost") != values(token_costs(long), "cost") and short.fingerprint() != long.fingerprint()
     keys = {artifacts_path(auth, "x", 1), artifacts_path(auth, "x", 100), artifacts_path(short, "x", 100)}
     assert len(keys) == 3
+
+
+def test_contenders_and_neighbours_of_candidates_only(spark, monkeypatch):
+    rng = random.Random(5)
+    ids = [f"n{i}" for i in range(60)]
+    g = Graph.from_records(spark, [dict(id=i, label=rng.choice(["", "a b", "a b c d"]), description="") for i in ids], [dict(source=a, target=rng.choice(ids)) for a in ids], [dict(id=f"h{i}", nodes=rng.sample(ids, 4)) for i in range(20)])
+    costs = {r["id"]: r["cost"] for r in token_costs(g).collect()}
+    score = {i: rng.choice([0.01, 0.1, 0.2, 0.2, 0.3, 0.7]) for i in ids}
+    s = spark.createDataFrame([("q", i, x) for i, x in score.items()], "query string, id string, score double")
+    budgets = spark.createDataFrame([("q", 45), ("q", 90)], "query string, budget int")
+    fit = [i for i in ids if score[i] >= 0.05]
+    for strategy, plain in (("exact", knapsack), ("density", first_fit)):
+        kept = selection.contenders(g, s, token_costs(g), budgets, strategy)
+        assert kept.count() < 2 * len(fit)
+        got = selection.select_many(g, s, budgets, strategy).orderBy("budget", "place").collect()
+        assert [(r["budget"], r["id"]) for r in got] == [(b, fit[i]) for b in (45, 90) for i in plain([score[i] for i in fit], [costs[i] for i in fit], b)]
+    # Only candidates are paired, whatever else their hyperedges have.
+    monkeypatch.setattr(Graph, "clique_edges", lambda self: pytest.fail("all pairs"))
+    for few in (0, 1000):
+        monkeypatch.setattr(selection, "FEW", few)
+        near = {r["id"]: set(r["near"] or ()) for r in selection.candidates(g, s, token_costs(g), budgets.filter("budget = 90")).collect()}
+        want = {i: set() for i in fit}
+        for a, b in [(r["src"], r["dst"]) for r in g.edges.collect()] + [(a, b) for r in g.hyperedges.collect() for a in r["nodes"] for b in r["nodes"]]:
+            if a != b and a in want and b in want:
+                want[a].add(b)
+                want[b].add(a)
+        assert near == want
