@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from functools import reduce
 from pathlib import Path
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessergraph.graph import Graph
@@ -87,9 +87,18 @@ class Ignore:
         return self.matches(node_id) or bool(node.get("source_file")) and self.matches(str(node["source_file"]))
 
 
+def _hit(ignore: Ignore) -> Column:
+    return ignore.column(F.col("id")) | ((F.coalesce("source_file", F.lit("")) != "") & ignore.column(F.col("source_file")))
+
+
+def ignored(graph: Graph, ignore: Ignore) -> DataFrame:
+    """The nodes whose id or source file a pattern matches."""
+    return graph.nodes.filter(_hit(ignore))
+
+
 def apply_ignore(graph: Graph, ignore: Ignore | None) -> Graph:
-    """The graph induced by the nodes whose id and source file no pattern matches."""
+    """The graph induced by the nodes whose id and source file no pattern matches. Ids are unique, so the nodes need no join."""
     if ignore is None:
         return graph
-    hit = ignore.column(F.col("id")) | ((F.coalesce("source_file", F.lit("")) != "") & ignore.column(F.col("source_file")))
-    return graph.induced(graph.nodes.filter(~hit).select("id"))
+    kept = graph.nodes.filter(~_hit(ignore))
+    return graph._between(kept.select("id"), kept)

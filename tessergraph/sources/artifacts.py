@@ -9,7 +9,7 @@ from tessergraph.operators.lexical import BM25Index
 from tessergraph.operators.scoring import Artifacts
 from tessergraph.operators.selection import token_costs
 
-VERSION = 2
+VERSION = 3
 
 
 def artifacts_path(graph: Graph, folder: str, max_iter: int = 100) -> str:

@@ -369,3 +369,74 @@ def test_contenders_and_neighbours_of_candidates_only(spark, monkeypatch):
                 want[a].add(b)
                 want[b].add(a)
         assert near == want
+
+
+@pytest.mark.parametrize("size", [3, 1000])
+def test_pagerank_in_blocks_equals_plain_version(spark, monkeypatch, size):
+    monkeypatch.setattr(pagerank, "LOCAL_LINKS", 0)
+    monkeypatch.setattr(pagerank.blocks, "BLOCK_LINKS", size)
+    # Cliques are not written out as pairs.
+    monkeypatch.setattr(pagerank, "adjacency", lambda graph: pytest.fail("all pairs"))
+    rng = random.Random(7)
+    ids = [f"n{i}" for i in range(14)]
+    pairs = {(rng.choice(ids[:11]), rng.choice(ids[:12])): rng.randint(1, 5) / 2 for _ in range(25)}
+    hyper = [dict(id=f"h{i}", nodes=[rng.choice([*ids[:9], "gone"]) for _ in range(rng.randint(1, 5))], confidence_score=rng.choice([0.0, 0.5, 1.0])) for i in range(6)]
+    g = Graph.from_records(spark, nodes(*ids), [dict(source=u, target=v, weight=w) for (u, v), w in pairs.items()], hyper)
+    for h in hyper:
+        for i, a in enumerate(h["nodes"]):
+            for j, b in enumerate(h["nodes"]):
+                if i != j and "gone" not in (a, b) and h["confidence_score"]:
+                    pairs[a, b] = pairs.get((a, b), 0) + h["confidence_score"] / (len(h["nodes"]) - 1)
+    seeds = spark.createDataFrame([("n1", 1.0), ("n3", 3.0), ("zz", 9.0), ("n4", -1.0)], "id string, score double")
+    restart = dict.fromkeys(ids, 0.0) | dict(n1=0.25, n3=0.75)
+    links = pagerank.links_of(g)
+    for rounds in (0, 1, 6):
+        assert values(global_pagerank(g, max_iter=rounds, tol=0, links=links)) == pytest.approx(plain_rank(ids, pairs, {i: 1 / 14 for i in ids}, rounds=rounds, tol=0))
+        got, want = values(personalized_pagerank(g, seeds, max_iter=rounds, tol=0, links=links)), plain_rank(ids, pairs, restart, rounds=rounds, tol=0)
+        assert got == pytest.approx(want) and {i for i in ids if got[i] > 0} == {i for i in ids if want[i] > 0}
+
+
+def test_term_stats_and_top_matches_equal_plain_versions(spark, monkeypatch):
+    from tessergraph.operators import lexical
+
+    rng = random.Random(3)
+    words = ["running", "runs", "ran", "blue", "ring", "fooBar", "x1", "asia"]
+    texts = {i: " ".join(rng.choice(words) for _ in range(rng.randint(0, 12))) for i in range(50)} | {50: None, 51: "blue blue ring", 52: "blue blue ring"}
+    docs = spark.createDataFrame(list(texts.items()), "id long, text string")
+    stats = {r["term"]: (r["df"], r["tf"]) for r in lexical.term_stats(docs.select(tokens(F.col("text"), False).alias("t"))).collect()}
+    plain = {i: tokenize(t or "", False) for i, t in texts.items()}
+    assert stats == {w: (sum(w in t for t in plain.values()), sum(t.count(w) for t in plain.values())) for t in plain.values() for w in t}
+    asked = {7: "blue ring ring", 8: "running fooBar", 9: "nothing", 3: "x1 asia ran"}
+    queries = spark.createDataFrame(list(asked.items()), "query_id int, text string")
+    for stemmed, digits in ((True, None), (False, 8)):
+        index = BM25Index.build(docs, stemmed=stemmed).matches(queries).collect()
+        want = {}
+        for q in asked:
+            found = sorted((-(r["score"] if digits is None else round(r["score"], digits)), r["id"]) for r in index if r["query_id"] == q)
+            want |= {(q, k): (i, pytest.approx(-s)) for k, (s, i) in enumerate(found[:4], 1)}
+        # The tasks' own index, in small slices, and the general one.
+        for cells, sent in ((4_000_000, 1_000_000), (7, 1_000_000), (7, 0)):
+            monkeypatch.setattr(lexical, "CELLS", cells)
+            monkeypatch.setattr(lexical, "SENT_TERMS", sent)
+            got = {(r["query_id"], r["rank"]): (r["id"], r["score"]) for r in lexical.top_matches(docs, queries, 4, stemmed, digits).collect()}
+            assert got == want
+
+
+def test_large_graphs_are_not_paired_or_joined_in_vain(spark, monkeypatch):
+    from tessergraph import graph as graphs
+    from tessergraph.operators.ignore import ignored
+
+    ids = [f"n{i}" for i in range(40)]
+    g = Graph.from_records(spark, nodes(*ids), [dict(source=a, target=ids[i * 7 % 40]) for i, a in enumerate(ids)], [dict(id=f"h{i}", nodes=ids[i : i + 4]) for i in range(0, 30, 3)]).stored()
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    rules = Ignore.from_lines(["n1*", "!n12"])
+    assert {r["id"] for r in ignored(g, rules).collect()} == {"n1", "n10", "n11", *(f"n{i}" for i in range(13, 20))}
+    assert "Exchange" not in plan(ignored(g, rules)) and "Exchange" not in plan(apply_ignore(g, rules).nodes)
+    # Pairs are made after the shuffle, where their sources are together.
+    for df in (g.clique_edges().groupBy("src", "dst").agg(F.sum("w")), adjacency(g)):
+        text = plan(df)
+        assert "hashpartitioning(src" in text and "hashpartitioning(src#0, dst" not in text and not any("hashpartitioning(src" in x and "dst" in x.partition("hashpartitioning(")[2] for x in text.splitlines())
+    monkeypatch.setattr(graphs, "SORTED", 5)
+    kept = spark.createDataFrame([(i,) for i in ids[:20]], "id string")
+    assert "9), REPARTITION_BY_NUM" in plan(g.induced(kept).edges)
+    assert {(r["src"], r["dst"]) for r in g.induced(kept).edges.collect()} == {(a, ids[i * 7 % 40]) for i, a in enumerate(ids[:20]) if i * 7 % 40 < 20}
